@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.bpe_codec import op1_bpe_codec
+from flowloom.llm.chat_format import op3_chat_format
 from flowloom.llm.decontaminate import op6_decontamination
 from flowloom.llm.quality import op5_quality_classifier
 from flowloom.llm.token_count import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_codec, op5_quality_classifier, op6_decontamination, op10_token_counts]
+    found = [op1_bpe_codec, op3_chat_format, op5_quality_classifier, op6_decontamination, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
