@@ -79,17 +79,20 @@ def fingerprint_documents(docs: DataFrame, words: int = 5, scale: int = 8) -> Da
     sizes = base.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
     unique = sizes.where("rows > 1").isEmpty()
     order = following(sizes.select(F.col("key").alias("cell"), F.col("key").alias("first"))).join(sizes.select(F.col("key").alias("cell"), "n"), "cell").select(F.col("next").alias("key"), F.col("cell").alias("before"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    own = base.withColumn("own", sketch(F.col("text"), words, scale))
-    start = own.join(order, "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, need)").alias("start"), F.col("own").alias("next_own"), "text")
+    # both sides of the join below read the same two columns, so that Spark deals the texts by id only once
+    texts = base.select("key", "text")
+    own = sketch(F.col("text"), words, scale)
+    start = texts.join(order, "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, need)").alias("start"), own.alias("next_own"), "text")
     if unique:
         start = start.drop("text")
     else:
         start = start.groupBy("key").agg(F.min(F.struct("text", "start", "next_own")).alias("s")).select("key", "s.start", "s.next_own")
     n = F.length("text")
-    edited = own.join(start, "key").withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.expr("concat(substring(text, 1, length(text) - floor(length(text) / 2)), substring(start, 1, floor(length(text) / 2)))"))
+    edited = texts.join(start, "key").withColumn("own", own).withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.expr("concat(substring(text, 1, length(text) - floor(length(text) / 2)), substring(start, 1, floor(length(text) / 2)))"))
     both = edited.withColumn("changed", sketch(F.col("edited"), words, scale))
     a, b, c = F.col("own"), F.col("changed"), F.col("next_own")
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(a).alias("fingerprint"), as_string(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), containment(a, b).alias("kept_by_edited"), containment(a, c).alias("kept_by_next"))
+    doc_id = F.when(F.col("key") != least, F.col("key")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return both.select(doc_id, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(a).alias("fingerprint"), as_string(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), containment(a, b).alias("kept_by_edited"), containment(a, c).alias("kept_by_next"))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
