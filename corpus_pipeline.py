@@ -1,29 +1,65 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir), is written as Parquet and read again by the next."""
+"""Corpus pipeline. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All stages but the last return the columns of documents.
+
+1. quality: rows that the classifier (learned from the labelled rows of the stage's own input) scores under 0.5 go;
+2. line_dedup: lines whose template recurs in other documents go from all but the first, and n_chars follows; documents
+   that are mostly such lines are copies and stay whole for the next stage;
+3. near_duplicates: one document of each group of linked documents stays, the one with the least doc_id;
+4. decontamination: contaminated documents go;
+5. bpe_encode: token ids of each text, with the digests of its round trip.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.llm.bpe_codec import encode_documents
+from flowloom.llm.common import read, shared_folder
+from flowloom.llm.decontaminate import drop_contaminated
+from flowloom.llm.jaccard_join import keep_one_of_each
+from flowloom.llm.line_dedup import drop_recurring_lines
+from flowloom.llm.quality import keep_good, train
+
+#: Documents that would lose more of their tokens to line deduplication are taken for copies.
+COPY_SHARE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, train(docs, read(spark, sf_dir, "labels")))
 
-from flowloom.llm.bpe_codec import digest_round_trip
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = drop_recurring_lines(docs, max_share=COPY_SHARE)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digest_round_trip(docs)
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
 
-STAGES = [("bpe_encode", encode_stage)]
 
-#: SQL cannot express these stages; tests compare them with brute force.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe_encode", bpe_encode)]
+
+#: SQL cannot express these stages; tests compare each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/flowloom-pipeline"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        out = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -105,5 +105,22 @@ def digest_round_trip(df: DataFrame, path: str | None = None, leaf: int = 256) -
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_documents(df: DataFrame, path: str | None = None, leaf: int = 256) -> DataFrame:
+    """One row (doc_id, ids, n_tokens, decoded_sha256) for each row; null texts have no ids. No shuffle."""
+    path = path or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(path, leaf)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = enc.encode(part.column("text").to_pylist())
+                sha = [hashlib.sha256(enc.decode(i).encode("utf-8", "surrogateescape")).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+
+    slim = df.select("doc_id", text_or_empty().alias("text"))
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_sha256 string")
+
+
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_round_trip(read(spark, sf_dir, "documents"))

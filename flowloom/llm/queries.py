@@ -11,6 +11,7 @@ from flowloom.llm.chat_format import op3_chat_format
 from flowloom.llm.decontaminate import op6_decontamination
 from flowloom.llm.fingerprint import op4_document_fingerprints
 from flowloom.llm.jaccard_join import op7_ngram_jaccard_join
+from flowloom.llm.license_scan import op2_license_scan
 from flowloom.llm.line_dedup import op9_line_dedup
 from flowloom.llm.lm_score import op8_lm_scores
 from flowloom.llm.quality import op5_quality_classifier
@@ -18,7 +19,7 @@ from flowloom.llm.token_count import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_codec, op3_chat_format, op4_document_fingerprints, op5_quality_classifier, op6_decontamination, op7_ngram_jaccard_join, op8_lm_scores, op9_line_dedup, op10_token_counts]
+    found = [op1_bpe_codec, op2_license_scan, op3_chat_format, op4_document_fingerprints, op5_quality_classifier, op6_decontamination, op7_ngram_jaccard_join, op8_lm_scores, op9_line_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
