@@ -184,9 +184,10 @@ def density_at_events(df: DataFrame, x: str, y: str, r: Raster, name: str = "den
     def look_up(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             v = r.bilinear(a.to_numpy(float), b.to_numpy(float))
-            yield pd.Series(np.where(np.isnan(v), outside, v))
+            yield pd.Series(v)
 
-    return df.withColumn(name, look_up(scaled(F.col(x), scale[0]).cast("double"), scaled(F.col(y), scale[1]).cast("double")))
+    value = look_up(scaled(F.col(x), scale[0]).cast("double"), scaled(F.col(y), scale[1]).cast("double"))
+    return df.withColumn(name, F.coalesce(value, F.lit(outside)))  # pandas batches give NaN as null
 
 
 def quantile_levels(df: DataFrame, x: str, y: str, r: Raster, qs: Sequence[float], scale=("linear", "linear")) -> list[float]:

@@ -120,7 +120,7 @@ def fcs_blocks(frame: EventFrame, features: Sequence[str], gated: bool = True) -
     """The header, and the events' bytes as rows (part, data) in the order of the key; concatenated they are an FCS file
     (SNK-03). Events with a value that isn't finite are left out. Bytes are made where the events are."""
     f = frame.with_features(*features)
-    names = [x.lower() for x in features]
+    names, key = [x.lower() for x in features], frame.key
     df = (f.gated() if gated else f.df).where(all_of(finite(n) for n in names)).select(frame.key, *[F.col(n).cast("float").alias(n) for n in names])
 
     def run(batches):
@@ -129,7 +129,7 @@ def fcs_blocks(frame: EventFrame, features: Sequence[str], gated: bool = True) -
 
         for b in batches:
             table = np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names]).astype(">f4")
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(frame.key)[0].as_py()], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(key)[0].as_py()], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["part", "data"])
 
     ordered = df.repartitionByRange(frame.key).sortWithinPartitions(frame.key)
     return fcs_header(names, df.count()), ordered.mapInArrow(run, "part long, data binary")

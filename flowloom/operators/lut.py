@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.numeric import as_column
+from flowloom.functions.numeric import NAN, as_column
 from flowloom.functions.physics import pixelation_delta, scale_feature
 
 MAX_POINTS = 50_000
@@ -188,7 +188,7 @@ def emodulus(lut: Lut, x: Column | str, deform: Column | str, channel_width: flo
         for a, b in batches:
             yield pd.Series(interpolate(np.column_stack([a.to_numpy(float), b.to_numpy(float)])))
 
-    base = look_up(u, d / top_d)
+    base = F.coalesce(look_up(u, d / top_d), F.lit(NAN))  # pandas batches give NaN as null
     return scale_feature("emodulus", base, lut.channel_width, channel_width, lut.flow_rate, flow_rate, lut.fluid_viscosity, viscosity)
 
 

@@ -135,7 +135,7 @@ def differential(df: DataFrame, feature: str, iterations: int = 1000, seed: int
         t = table.sort_values(["region", "x"])
         a, b = (t.loc[t.region == r, "x"].to_numpy(float) for r in ("channel", "reservoir"))
         if not len(a) or not len(b):
-            return pd.DataFrame({"group": [], "repetition": [], "draw": [], "x": []})
+            return pd.DataFrame({"group": t.group[:0].astype(object), "repetition": t.repetition[:0], "draw": np.zeros(0, np.int32), "x": np.zeros(0)})
         ma, mb = bootstrapped_medians(a, b, iterations, seed)
         return pd.DataFrame({"group": t.group.iloc[0], "repetition": t.repetition.iloc[0], "draw": np.arange(iterations), "x": ma - mb})
 
