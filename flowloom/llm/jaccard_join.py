@@ -306,13 +306,18 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, the one with the least doc_id (repeated rows of it count once), all columns kept.
+    """docs with one row of each class, the one with the least doc_id, all columns kept.
 
-    Texts without words are no copies of anything here: their rows stay.
+    Texts without words are no copies of anything here: their rows stay. Where doc_ids repeat, rows are told apart by
+    numbers of their own, and of each class the row that was read first stays.
     """
-    gone = link_documents(docs, **options).where("n_shingles > 0 and not doc_id <=> class_id").select(_doc().alias("_doc")).distinct()
-    marked = docs.withColumn("_doc", _doc())
-    return marked.join(gone, "_doc", "left_anti").drop("_doc")
+    if docs.groupBy(_doc()).count().where("count > 1").isEmpty():
+        gone = link_documents(docs, **options).where("n_shingles > 0 and not doc_id <=> class_id").select(_doc().alias("_doc"))
+        return docs.withColumn("_doc", _doc()).join(gone, "_doc", "left_anti").select(*docs.columns)
+    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = link_documents(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
+    gone = found.where("n_shingles > 0 and doc_id != class_id").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_equals_brute_force(spark):
 
 
 def test_keep_one(spark):
-    rows = _rows()
+    rows = _rows()[:-1]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, rep string")
     kept = keep_one_of_each(df, recall=0.9999)
     assert kept.columns == df.columns
@@ -38,6 +38,13 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
 
 
+def test_keep_one_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, None), (3, None)]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), recall=0.9999)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (1, b), (3, None), (3, None)], key=str)
+
+
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {(r.doc_id, r.class_id, r.n_links) for r in op7_ngram_jaccard_join(spark, sf).collect()}
