@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowloom.catalog import Catalog, Metadata
 from flowloom.functions.numeric import NAN
 from flowloom.operators import basins as B
-from flowloom.operators import derive, gates, hierarchy, sample, stats
+from flowloom.operators import density, derive, gates, hierarchy, sample, stats
 
 
 @dataclass(frozen=True)
@@ -130,3 +130,21 @@ class EventFrame:
         rows = [F.struct(F.lit("").alias("feature"), F.lit(m).alias("method"), F.col(f"`{m}`").cast("double").alias("value")) for m in ("Events", "%-gated")]
         rows.append(F.struct(F.lit("").alias("feature"), F.lit("Flow rate").alias("method"), F.lit(flow).alias("value")))
         return total.select(F.explode(F.array(*rows)).alias("s")).select("s.*").unionByName(long)
+
+    # ---- views -------------------------------------------------------------------------------------------------
+
+    def scatter(self, x: str, y: str, n: int = 0, scale: tuple[str, str] = ("linear", "linear"), remove_invalid: bool = True) -> DataFrame:
+        """Gated events thinned to n by density (TOP-04), in their own coordinates."""
+        f = self.with_features(x, y)
+        return sample.thin(f.gated(), x, y, n, self.key, remove_invalid, scale).select(self.key, x, y)
+
+    def density_scatter(self, x: str, y: str, kind: str = "histogram", scale: tuple[str, str] = ("linear", "linear"), accuracy: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+        """Gated events with the density where they lie (KDE-12)."""
+        df = self.with_features(x, y).gated()
+        return density.density_at_events(df, x, y, density.raster(df, x, y, kind, accuracy, scale), scale=scale).select(self.key, x, y, "density")
+
+    def contour_lines(self, x: str, y: str, quantiles: Sequence[float], kind: str = "histogram", scale: tuple[str, str] = ("linear", "linear"), accuracy: tuple[float | None, float | None] = (None, None)) -> list:
+        return density.contour_lines(self.with_features(x, y).gated(), x, y, quantiles, kind, accuracy, scale)
+
+    def contour_spacing(self, x: str, y: str, quantile: float = 0.5) -> tuple[float, float]:
+        return density.smooth_spacing(self.with_features(x, y).gated(), x, y, quantile)

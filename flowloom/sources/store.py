@@ -20,6 +20,8 @@ from flowloom.catalog import Catalog, Metadata
 from flowloom.frame import EventFrame
 from flowloom.operators.basins import Basin
 from flowloom.operators.gates import Polygon
+from flowloom.sources import defects
+from flowloom.sources.defects import Defect
 
 #: Features that are kept as whole numbers.
 WHOLE = re.compile(r"fl[123]_(max|npeaks)|index|ml_class|nevents|frame|basinmap[0-9]")
@@ -117,10 +119,10 @@ def write_store(frame: EventFrame, path: str, features: Sequence[str] | None = N
         _write_text(spark, f"{path}/basins.json", json.dumps(defs, sort_keys=True))
 
 
-def read_store(spark: SparkSession, path: str, catalog: Catalog | None = None, basins: bool = True) -> EventFrame:
-    """A stored measurement; basins are opened by their names, which are paths."""
-    df = spark.read.parquet(f"{path}/events")
+def read_store(spark: SparkSession, path: str, catalog: Catalog | None = None, basins: bool = True, known_defects: Sequence[Defect] = defects.STANDARD) -> EventFrame:
+    """A stored measurement without its defective features; basins are opened by their names, which are paths."""
     meta = Metadata(json.loads(_one_text(spark, f"{path}/meta.json") or "{}"))
+    df = defects.hide(spark.read.parquet(f"{path}/events"), meta, known_defects)
     logs: dict[str, list[str]] = {}
     try:
         for r in spark.read.parquet(f"{path}/logs").orderBy("log", "line_no").toLocalIterator():

@@ -396,3 +396,31 @@ def test_live(spark, tmp_path):
     got = spark.table("live_stats").first()
     assert (got[0], got[2], got[3]) == (want[0], pytest.approx(want[1]), pytest.approx(want[2]))
     assert spark.table("live_windows").agg(F.sum("n")).first()[0] == want[0] and spark.table("live_hist").agg(F.sum("n")).first()[0] == 500
+
+
+def test_views_and_defects(spark):
+    from flowloom.sources import defects
+
+    df = events(spark, 2000, ["area_um", "deform", "time", "frame"])
+    f = EventFrame(df, Metadata().set("imaging", "frame rate", 100)).gate(gates.Box("area_um", 100, 300))
+    assert f.scatter("area_um", "deform", 100).count() == 100
+    seen = f.density_scatter("area_um", "deform")
+    assert seen.count() == f.gated().count() and seen.where(F.isnan("density")).count() == 0
+    assert f.contour_lines("area_um", "deform", [0.5])[0]
+    coarse = df.withColumn("time", F.col("time").cast("float"))
+    assert "time" not in defects.hide(coarse, f.meta).columns and "time" in defects.hide(df, f.meta).columns and "time" in defects.hide(coarse, Metadata()).columns
+    old = defects.Defect(("deform",), defects.written_by("prog", "1.2"))
+    named = lambda v: Metadata().set("setup", "software version", v)
+    assert "deform" not in defects.hide(df, named("acq 3.0 | prog 1.1.9"), [old]).columns
+    assert "deform" in defects.hide(df, named("prog 1.1.9 | prog 1.10"), [old]).columns
+    assert EventFrame(defects.hide(coarse, f.meta), f.meta).with_features("time").df.where("event_idx = 50").first().time == 0.5
+
+
+def test_hdf5_needs_its_library():
+    from flowloom.sources import hdf5
+
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="h5py"):
+            hdf5.Hdf5Events({"path": "x"}).schema()
