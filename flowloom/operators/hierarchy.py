@@ -24,7 +24,7 @@ def child(parent: DataFrame, gate: Column, hidden: DataFrame | None = None) -> D
     kept = base.where(gate)
     if hidden is not None:
         kept = kept.join(hidden.select("root_idx").distinct(), "root_idx", "left_anti")
-    ranked = with_rank(kept.withColumnRenamed("event_idx", "parent_idx") if "parent_idx" not in kept.columns else kept.drop("parent_idx").withColumnRenamed("event_idx", "parent_idx"), "parent_idx", "event_idx")
+    ranked = with_rank(kept.drop("parent_idx").withColumnRenamed("event_idx", "parent_idx"), "parent_idx", "event_idx")
     return ranked.withColumn("index", F.col("event_idx") + 1)
 
 

@@ -33,6 +33,14 @@ METHODS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _sketched(q: float) -> Callable[[Column], Column]:
+    return lambda x: F.percentile_approx(x, F.lit(q), F.lit(10_000))
+
+
+#: The same with quantiles from mergeable sketches (ranks off by 1/10,000 at most), for inputs of any size in one pass.
+APPROXIMATE = METHODS | {"Median": _sketched(0.5), **{f"{round(100 * q)}th Percentile": _sketched(q) for q in (0.1, 0.25, 0.75, 0.9)}}
+
+
 def _gated(gate: Column | None, x: Column) -> Column:
     return x if gate is None else F.when(F.coalesce(gate, F.lit(False)), x)
 
@@ -120,7 +128,7 @@ def doane_width(feature: str) -> Column:
 def doane_bins(feature: str) -> Column:
     """Number of bins; 5 where the width is 0 or unknown."""
     x, w = finite_or_null(feature), doane_width(feature)
-    return F.when(F.coalesce(w, F.lit(0.0)) > 0, F.rint(F.try_divide(F.max(x) - F.min(x), w)).cast("int")).otherwise(F.when(F.count(x) > 0, 5).otherwise(5))
+    return F.when(F.coalesce(w, F.lit(0.0)) > 0, F.rint(F.try_divide(F.max(x) - F.min(x), w)).cast("int")).otherwise(5)
 
 
 def percentile_width(feature: str) -> Column:

@@ -177,3 +177,32 @@ def grid_thin(spark, sf_dir):
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rank FROM events WHERE value > 20")
 def row_ranks(spark, sf_dir):
     return sample.with_rank(table(spark, sf_dir, "events").where("value > 20"), "event_id", "rank").select("event_id", "rank")
+
+
+@query("SELECT feature, method, round(CASE method WHEN 'Mean' THEN avg(value) WHEN 'Min' THEN min(value) ELSE max(value) END, 6) AS value FROM events, (VALUES ('value', 'Mean'), ('value', 'Min'), ('value', 'Max')) m(feature, method) GROUP BY feature, method")
+def stats_approximate(spark, sf_dir):
+    out = stats.describe(table(spark, sf_dir, "events"), ["value"], stats.APPROXIMATE)
+    return out.where(F.col("method").isin("Mean", "Min", "Max")).withColumn("value", F.round("value", 6))
+
+
+@query()
+def limit_events_exact(spark, sf_dir):
+    return sample.take_exact(table(spark, sf_dir, "events"), 300, "event_id").select("event_id", "value")
+
+
+@query("SELECT event_type, count_if(value BETWEEN 20 AND 80) AS events, round(100.0 * avg(CASE WHEN value BETWEEN 20 AND 80 THEN 1 ELSE 0 END), 6) AS gated_percent, round(avg(CASE WHEN value BETWEEN 20 AND 80 THEN value END), 6) AS mean, round(stddev_pop(CASE WHEN value BETWEEN 20 AND 80 THEN value END), 5) AS sd FROM events GROUP BY event_type")
+def live_statistics(spark, sf_dir):
+    """A stream over the table's files, run until nothing new is there."""
+    import uuid
+
+    from flowloom.streaming import live
+
+    name = f"live_{uuid.uuid4().hex}"
+    stream = live.watch(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)  # a pattern, since a stream's path must not be a file
+    sums = live.running_statistics(stream, ["value"], G.Box("value", 20, 80).condition(), ["event_type"])
+    out = sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        out = out.option("checkpointLocation", f"{folder}/{name}")
+    out.start().awaitTermination()
+    r = spark.table(name)
+    return r.select("event_type", F.col("Events").alias("events"), F.round("%-gated", 6).alias("gated_percent"), F.round("Mean value", 6).alias("mean"), F.round("SD value", 5).alias("sd"))
