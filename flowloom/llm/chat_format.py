@@ -208,4 +208,4 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return digest_formatted(format_conversations(rows.unionByName(extra)))
+    return digest_formatted(format_conversations(rows.unionByName(extra))).drop("n_parts")

@@ -174,7 +174,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, sha
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]], size: int = 13, share: int = 20) -> tuple:

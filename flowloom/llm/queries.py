@@ -15,6 +15,7 @@ from flowloom.llm.license_scan import op2_license_scan
 from flowloom.llm.line_dedup import op9_line_dedup
 from flowloom.llm.lm_score import op8_lm_scores
 from flowloom.llm.quality import op5_quality_classifier
+from flowloom.llm.sql import CHAT_FORMAT, DECONTAMINATION
 from flowloom.llm.token_count import op10_token_counts
 
 
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": CHAT_FORMAT, "op6_decontamination": DECONTAMINATION}
