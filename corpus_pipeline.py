@@ -2,8 +2,8 @@
 again as the next one's docs. All stages but the last return the columns of documents.
 
 1. quality: rows that the classifier (learned from the labelled rows of the stage's own input) scores under 0.5 go;
-2. line_dedup: lines whose template recurs in other documents go from all but the first, and n_chars follows; documents
-   that are mostly such lines are copies and stay whole for the next stage;
+2. line_dedup: lines whose template recurs in other documents go from all but the first, and n_chars follows; a document
+   that is mostly such lines stays whole only if the next stage removes it, being linked with one that stays;
 3. near_duplicates: one document of each group of linked documents stays, the one with the least doc_id;
 4. decontamination: contaminated documents go;
 5. bpe_encode: token ids of each text, with the digests of its round trip.
@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.bpe_codec import encode_documents
-from flowloom.llm.common import read, shared_folder
+from flowloom.llm.common import read, settle, shared_folder
 from flowloom.llm.decontaminate import drop_contaminated
-from flowloom.llm.jaccard_join import keep_one_of_each
+from flowloom.llm.jaccard_join import keep_one_of_each, link_documents
 from flowloom.llm.line_dedup import drop_recurring_lines
 from flowloom.llm.quality import keep_good, train
 
-#: Documents that would lose more of their tokens to line deduplication are taken for copies.
+#: Documents that would lose more of their tokens to line deduplication may be copies, which the next stage removes.
 COPY_SHARE = 0.5
 
 
@@ -31,8 +31,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def _cut_or_removed(docs: DataFrame) -> DataFrame:
+    """docs without recurring lines. Documents that lose more than COPY_SHARE are linked, whole, with all others as cut. In
+    classes whose first document isn't one of them they stay whole, as near_duplicates removes them; all others are cut.
+    That leaves each such class as it was linked, so it is removed as foreseen. If doc_ids repeat, all are cut."""
+    marked = F.col("_lost") > COPY_SHARE
+    cut = drop_recurring_lines(docs.withColumn("_whole", F.col("text")), lost=True)
+    cut = settle(cut.withColumn("_whole", F.when(marked, F.col("_whole"))))
+    suspects = cut.where(marked).select("doc_id")
+    if suspects.isEmpty() or not docs.groupBy(F.col("doc_id").cast("bigint")).count().where("count > 1").isEmpty():
+        return cut.select(*docs.columns)
+    linked = link_documents(cut.select("doc_id", F.when(marked, F.col("_whole")).otherwise(F.col("text")).alias("text")))
+    gone = linked.where("n_shingles > 0 and not doc_id <=> class_id").select(F.col("doc_id").alias("_copy"), F.col("class_id").alias("_class"))
+    heads = suspects.withColumnRenamed("doc_id", "_head")
+    gone = gone.join(heads, F.col("_class").eqNullSafe(F.col("_head")), "left_anti").select("_copy", F.lit(True).alias("_gone"))
+    text = F.when(F.col("_gone") & marked, F.col("_whole")).otherwise(F.col("text"))
+    return cut.join(gone, F.col("doc_id") == F.col("_copy"), "left").withColumn("text", text).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = drop_recurring_lines(docs, max_share=COPY_SHARE)
+    kept = _cut_or_removed(docs)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

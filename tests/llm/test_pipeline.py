@@ -45,3 +45,23 @@ def test_stages_one_by_one(spark, tmp_path):
     want = {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in before}
     assert {r.doc_id: list(r.ids) for r in after} == want
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+def test_shared_passages_go_from_all_but_true_copies(spark):
+    def lines(who, n):
+        return [f"{who}{k} opens " + " ".join(f"{who}{k}word{chr(97 + j)}" for j in range(10)).replace("0", "x").replace("1", "y") for k in (chr(97 + i) for i in range(n))]
+
+    a, b, own, more = lines("a", 8), lines("b", 8), lines("c", 2), lines("d", 3)
+    texts = {1: a, 2: b, 3: a[:4] + b[:4] + own, 4: a, 5: a[:4] + b[:4] + own, 6: a[:7] + [a[7][:-1] + "z"], 7: a[:5] + more, 8: a[4:] + b[4:]}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    cut = corpus_pipeline.line_dedup(spark, docs, SF)
+    got = {r.doc_id: r.text for r in cut.collect()}
+    whole = {i: "\n".join(texts[i]) for i in (1, 2, 4, 6)}
+    assert got == whole | {3: "\n".join(own), 5: "", 7: "\n".join(more), 8: ""}
+    # Brute force: what near-duplicate removal leaves holds each line of 5 or more tokens once.
+    rows = [(i, t) for i, t in got.items()]
+    kept = [i for i, c, _ in linked(rows) if i == c or not got[i]]
+    assert kept == [1, 2, 3, 5, 7, 8]
+    left = [x for i in kept for x in got[i].split("\n") if parse(x, 3, 5)]
+    assert len(left) == len(set(left)) == len(a + b + own + more)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, cut, SF).collect()) == kept
