@@ -53,6 +53,18 @@ def metadata_cues(meta: Metadata, has_fluorescence: bool) -> list[tuple]:
     return out
 
 
+def channel_name_cues(columns: list[str], meta: Metadata) -> list[tuple]:
+    """DQ-08: a channel has a name if and only if its peak maximum is there."""
+    out = []
+    for k in (1, 2, 3):
+        there, named = f"fl{k}_max" in columns, meta.get("fluorescence", f"channel {k} name") is not None
+        if there and not named:
+            out.append(_cue("alert", "metadata missing", f"[fluorescence] channel {k} name is missing", "fluorescence", f"channel {k} name"))
+        elif named and not there:
+            out.append(_cue("alert", "metadata invalid", f"[fluorescence] channel {k} name is set without fl{k}_max", "fluorescence", f"channel {k} name"))
+    return out
+
+
 def data_cues(df: DataFrame, meta: Metadata, catalog: Catalog | None = None) -> list[tuple]:
     """Rules on the events, from one aggregate over all of them."""
     catalog = catalog or Catalog()
@@ -96,7 +108,7 @@ def check(df: DataFrame, meta: Metadata, logs: dict[str, list[str]] | None = Non
     """All cues of an ungated measurement as a DataFrame."""
     fluorescent = any(c.startswith("fl") and c.endswith("_max") for c in df.columns)
     rows = [_cue("info", "general", f"fluorescence: {fluorescent}"), _cue("info", "format", "parquet")]
-    rows += metadata_cues(meta, fluorescent) + data_cues(df, meta, catalog)
+    rows += metadata_cues(meta, fluorescent) + channel_name_cues(df.columns, meta) + data_cues(df, meta, catalog)
     for name, lines in (logs or {}).items():
         if any(len(x) > MAX_LOG_LINE for x in lines):
             rows.append(_cue("alert", "format", f"log {name} has lines of more than {MAX_LOG_LINE} characters"))

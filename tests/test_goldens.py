@@ -367,6 +367,13 @@ def test_catalogue_and_metadata():
     assert parse_config(Metadata().set("imaging", "frame rate", 2000).to_text()).get("imaging", "frame rate") == 2000
 
 
+def test_quality_channel_names(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0)], "event_idx long, fl1_max double, fl3_max double")
+    meta = Metadata().set("fluorescence", "channel 2 name", "b").set("fluorescence", "channel 3 name", "c")
+    got = {(r.level, r.category, r.key) for r in quality.check(df, meta).collect() if (r.key or "").startswith("channel ") and r.key.endswith(" name")}
+    assert got == {("alert", "metadata missing", "channel 1 name"), ("alert", "metadata invalid", "channel 2 name")}
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(0, 1, 0.01, 2.0), (1, 2, 5.0, 0.5)], "event_idx long, index long, fl1_max double, ml_score_abc double").withColumn("strange", F.lit(1))
     with warnings.catch_warnings():
