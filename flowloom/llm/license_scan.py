@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
 Around words that licences use, candidate blocks are cut from a text. Each block is compressed by itself and with every
-wording as a raw zstandard dictionary; wordings are ranked by the bytes that they save, and the best are aligned word by
-word. The one that agrees best wins, if its differences are few enough (none for short notices).
+wording as a raw zstandard dictionary; wordings are ranked by the bytes that they save, and all are aligned word by
+word. The longest that agrees wins, if its differences are few enough. Short notices must agree in all words and are looked
+for in every block, whatever they save; long ones are refused only by alignment or by a bound that it cannot exceed.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -26,14 +28,13 @@ _WORD = re.compile(r"\w+")
 _GAP, _PAD, _CHUNK = 40, 40, 1200
 #: Wordings of fewer words must agree in all of them; longer ones in this share.
 SHORT, AGREE = 24, 0.9
-#: Wordings that save this share of what the best one saves are aligned.
-_WORTH = 0.3
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [[w.lower() for w in _WORD.findall(t)] for _, t in templates]
+        self.counts = [Counter(w) for w in self.words]
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
         self.longest = max(map(len, self.words))
@@ -54,8 +55,27 @@ class Scanner:
         """(bytes saved, wording), best first."""
         data = " ".join(words).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        saved = sorted(((alone - len(c.compress(data)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-        return [x for x in saved if x[0] > 0]
+        return sorted(((alone - len(c.compress(data)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+
+    def place(self, k: int, words: list[str], counts: Counter) -> tuple[float, int, int, str] | None:
+        """As align, if wording k is there with few enough differences. Regions that are refused are split around."""
+        own = self.words[k]
+        n = len(own)
+        if n < SHORT:
+            at = next((i for i in range(len(words) - n + 1) if words[i] == own[0] and words[i : i + n] == own), None) if self.counts[k] <= counts else None
+            return None if at is None else (1.0, at, at + n, "")
+        open_ = [(0, len(words))]
+        while open_:
+            lo, hi = open_.pop()
+            have = counts if hi - lo == len(words) else Counter(words[lo:hi])
+            if sum((self.counts[k] & have).values()) < AGREE * n:  # more words than these cannot agree
+                continue
+            if found := self.align(k, words[lo:hi]):
+                share, a, z, diff = found
+                if share >= AGREE:
+                    return share, lo + a, lo + z, diff
+                open_ += [(lo + z, hi), (lo, lo + a)]
+        return None
 
     def align(self, k: int, words: list[str]) -> tuple[float, int, int, str] | None:
         """(similarity, first word, one past the last, differences) of the best place for wording k."""
@@ -84,11 +104,10 @@ class Scanner:
             if not any(_CUE_WORD.fullmatch(w) for w in part):
                 continue
             winner = None
-            ranked = self.ranked(part)
-            for saved, k in (x for x in ranked if x[0] >= _WORTH * ranked[0][0]):
-                found = self.align(k, part)
-                least = 1.0 if len(self.words[k]) < SHORT else AGREE
-                if found and found[0] >= least and (winner is None or (found[2] - found[1], found[0]) > (winner[2] - winner[1], winner[3])):
+            counts = Counter(part)
+            for saved, k in self.ranked(part):
+                found = self.place(k, part, counts)
+                if found and (winner is None or (found[2] - found[1], found[0]) > (winner[2] - winner[1], winner[3])):
                     winner = (k, found[1], found[2], found[0], saved, found[3])
             if winner:
                 k, a, z, *rest = winner

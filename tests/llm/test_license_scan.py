@@ -35,6 +35,17 @@ def test_differences_and_repeats():
     assert s.scan("no such thing here") == (0, [])
 
 
+def test_near_misses_hide_no_notice():
+    s = Scanner()
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 500)
+    at = mit.index("The above copyright")
+    cut = mit[:at] + mit[mit.index(".", at) + 1 :]
+    found = lambda t: [f["license"] for f in s.scan(t)[1]]
+    assert found(cut) == [] and found(cut + " SPDX-License-Identifier: Apache-2.0") == ["Apache-2.0"]
+    assert found("This work is licensed under the GNU General Public License, version 7. Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert found(cut + " filler" * 20 + " " + mit) == ["MIT"]
+
+
 def test_long_blocks_are_cut_without_losing_notices():
     s = Scanner()
     parts = ["software " * 900, "Licensed under CC BY-NC 4.0.", "software " * 3000, TEMPLATES[-1][1], "software " * 10]
