@@ -39,13 +39,9 @@ class EventFrame:
 
     def with_features(self, *names: str) -> EventFrame:
         """The frame with these columns: stored ones, then basins', then derived ones."""
-        df = self.df
-        for n in names:
-            if n in df.columns:
-                continue
-            try:
-                df = B.resolve(df, [n], self.basins, self.key, self.run_identifier)
-            except KeyError:
+        df, derived = B.resolve_some(self.df, list(dict.fromkeys(names)), self.basins, self.key, self.run_identifier)
+        for n in derived:
+            if n not in df.columns:
                 df = self.resolver.add(df, [n], self.meta, self.luts)
         return replace(self, df=df)
 
@@ -78,6 +74,12 @@ class EventFrame:
             return None
         return re.sub(r"(.{8})(.{4})(.{4})(.{4})(.{12})", r"\1-\2-\3-\4-\5", hashlib.md5("_".join(parts).encode()).hexdigest())
 
+    @staticmethod
+    def identifiers(time: Column, date: Column, setup: Column) -> Column:
+        """The same digest for a catalogue of measurements, one row each."""
+        digest = F.md5(F.concat_ws("_", time.cast("string"), date.cast("string"), setup.cast("string")))
+        return F.regexp_replace(digest, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+
     # ---- gates -------------------------------------------------------------------------------------------------
 
     def gate(self, *more) -> EventFrame:

@@ -43,16 +43,33 @@ def verify(b: Basin, run_identifier: str | None) -> bool:
     return run_identifier == b.identifier if b.mapping == "same" else run_identifier.startswith(b.identifier)
 
 
-def join_basin(df: DataFrame, b: Basin, features: Sequence[str], key: str = "event_idx", small: bool = False) -> DataFrame:
-    """df with some of the basin's features: a left join by place or by map. small: the basin's size has been checked."""
+def join_basin(df: DataFrame, b: Basin, features: Sequence[str], key: str = "event_idx") -> DataFrame:
+    """df with some of the basin's features: a left join by place or by map. Spark broadcasts a basin by its measured size only."""
     side = b.df.select(F.col(b.key).alias("_basin"), *features)
     left = key if b.mapping == "same" else b.mapping
-    return df.join(F.broadcast(side) if small else side, df[left] == F.col("_basin"), "left").drop("_basin")
+    return df.join(side, df[left] == F.col("_basin"), "left").drop("_basin")
 
 
 def resolve(df: DataFrame, wanted: Sequence[str], basins: Sequence[Basin], key: str = "event_idx", run_identifier: str | None = None, seen: frozenset = frozenset()) -> DataFrame:
     """df with the wanted features that it lacks, each from the first basin that has it; a basin that gives nothing is not
     joined. Basins of basins are looked into; one that has been met on the way is skipped."""
+    df, missing = resolve_some(df, wanted, basins, key, run_identifier, seen)
+    if missing:
+        raise KeyError(f"no basin has {', '.join(missing)}")
+    return df
+
+
+def reachable(basins: Sequence[Basin], run_identifier: str | None, seen: frozenset = frozenset()) -> set[str]:
+    """The features that these basins and their basins have."""
+    out: set[str] = set()
+    for b in basins:
+        if id(b) not in seen and verify(b, run_identifier):
+            out |= set(b.offers()) | reachable(b.basins, b.identifier, seen | {id(b)})
+    return out
+
+
+def resolve_some(df: DataFrame, wanted: Sequence[str], basins: Sequence[Basin], key: str = "event_idx", run_identifier: str | None = None, seen: frozenset = frozenset()) -> tuple[DataFrame, list[str]]:
+    """As resolve, and what no basin has. Each basin is joined once, whatever number of its features is wanted."""
     missing = [f for f in wanted if f not in df.columns]
     for b in sorted(basins, key=priority):
         if not missing:
@@ -60,17 +77,23 @@ def resolve(df: DataFrame, wanted: Sequence[str], basins: Sequence[Basin], key:
         if id(b) in seen or not verify(b, run_identifier):
             continue
         source = b
-        inner = [f for f in missing if f not in b.offers()]
-        if inner and b.basins:
+        inner = sorted(reachable(b.basins, b.identifier, seen | {id(b)}) & {f for f in missing if f not in b.offers()})
+        if inner:
             deeper = resolve(b.df, inner, b.basins, b.key, b.identifier, seen | {id(b)})
             source = Basin(deeper, b.key, b.mapping, b.kind, b.format, None, b.identifier, b.name)
         here = [f for f in missing if f in source.offers()]
         if here:
             df = join_basin(df, source, here, key)
             missing = [f for f in missing if f not in here]
-    if missing:
-        raise KeyError(f"no basin has {', '.join(missing)}")
-    return df
+    return df, missing
+
+
+BASIN_JSON = "name string, mapping string, kind string, format string, key string, features array<string>, identifier string"
+
+
+def definitions(df: DataFrame, column: str) -> DataFrame:
+    """df with the fields of the basin definitions that a column holds as JSON (JSN-01); broken text gives nulls."""
+    return df.withColumn("_d", F.from_json(column, BASIN_JSON)).select(*df.columns, "_d.*")
 
 
 def compose_map(child_map: DataFrame, parent_map: DataFrame) -> DataFrame:

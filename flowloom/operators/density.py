@@ -165,6 +165,8 @@ def raster(df: DataFrame, x: str, y: str, kind: str = "histogram", accuracy: tup
     ax, ay = accuracy[0] or r[5], accuracy[1] or r[6]
     xs = np.linspace(r[1], r[2], max(2, math.ceil((r[2] - r[1]) / ax)))
     ys = np.linspace(r[3], r[4], max(2, math.ceil((r[4] - r[3]) / ay)))
+    if len(xs) * len(ys) > MAX_NODES:
+        raise ValueError(f"a raster of {len(xs)} x {len(ys)} nodes is too large; take a coarser accuracy")
     if kind == "none":
         return Raster(xs, ys, np.ones((len(xs), len(ys))))
     if kind == "histogram":
@@ -268,10 +270,15 @@ def opening_angles(line: np.ndarray) -> np.ndarray:
 
 
 def smooth_spacing(df: DataFrame, x: str, y: str, quantile: float, max_angle: float = 23.0, max_vertices: int = 100, tries: int = 15, scale=("linear", "linear")) -> tuple[float, float]:
-    """Grid spacing fine enough for smooth contours (KDE-10): halved until lines turn little or have many vertices."""
-    r = _both_finite(df, x, y, scale).agg(percentile_width("x"), percentile_width("y")).first()
+    """Grid spacing fine enough for smooth contours (KDE-10): halved until lines turn little or have many vertices, or
+    the next raster would have more than MAX_NODES nodes."""
+    r = _both_finite(df, x, y, scale).agg(percentile_width("x"), percentile_width("y"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if r[2] is None:
+        raise ValueError("there are no events with finite coordinates")
     ax, ay = float(r[0]), float(r[1])
     for _ in range(tries):
+        if max(2, math.ceil(r[2] / ax)) * max(2, math.ceil(r[3] / ay)) > MAX_NODES:
+            return 2 * ax, 2 * ay
         lines = contour_lines(df, x, y, [quantile], accuracy=(ax, ay), scale=scale)[0]
         if lines:
             longest = max(lines, key=len)

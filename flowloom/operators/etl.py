@@ -14,6 +14,7 @@ from flowloom.catalog import Metadata
 from flowloom.frame import EventFrame
 from flowloom.functions.numeric import all_of, finite
 from flowloom.operators.sample import with_rank
+from flowloom.operators.stats import union_all
 
 
 def start_of(meta: Metadata) -> float:
@@ -33,31 +34,28 @@ def run_order(meta: Metadata) -> str:
 def concatenate(frames: Sequence[EventFrame]) -> EventFrame:
     """Measurements one after another (SET-01), in the order of their starts: features that all have; time and frame
     shifted by the starts' differences; index_online going on; events numbered anew. Metadata of the first, run index 1;
-    logs of each under a prefix. A few numbers for each run reach the driver."""
+    logs of each under a prefix. One plan for all runs: one grouped aggregate, of which a few numbers for each run reach the
+    driver, ranks within runs, and a join with the offsets."""
     runs = sorted(frames, key=lambda f: run_order(f.meta))
     shared = [c for c in runs[0].df.columns if all(c in f.df.columns for f in runs[1:]) and c not in (runs[0].key, "index", "root_idx", "parent_idx")]
+    every = union_all([f.df.select(F.lit(i).alias("_run"), F.col(f.key).alias("_key"), *shared) for i, f in enumerate(runs)])
+    sums = [F.count("*").alias("n")] + ([F.max_by("index_online", "_key").alias("last")] if "index_online" in shared else [])
+    found = {r["_run"]: r for r in every.groupBy("_run").agg(*sums).collect()}
     first, at, online = start_of(runs[0].meta), 0, 0
-    parts, logs = [], {}
+    places, logs = [], {}
     for i, f in enumerate(runs):
         shift = start_of(f.meta) - first
-        df = with_rank(f.df.select(f.key, *shared), f.key, "_i")
-        change: dict[str, Column] = {"event_idx": F.col("_i") + at, "index": F.col("_i") + at + 1}
-        if "time" in shared:
-            change["time"] = F.col("time") + shift
-        if "frame" in shared:
-            change["frame"] = F.col("frame") + round(shift * float(f.meta.get("imaging", "frame rate", 0)))
-        if "index_online" in shared and i:
-            change["index_online"] = F.col("index_online") + online
-        sums = [F.count("*").alias("n")] + ([F.max_by("index_online", f.key).alias("last")] if "index_online" in shared else [])
-        r = f.df.agg(*sums).first()
-        parts.append(df.withColumns(change).select("event_idx", "index", *shared))
-        at += r.n
-        if "index_online" in shared:
-            online = online * (i > 0) + (r["last"] or 0) + 1
+        places.append((i, at, shift, round(shift * float(f.meta.get("imaging", "frame rate", 0))), online))
+        if i in found:
+            at += found[i].n
+            if "index_online" in shared:
+                online += (found[i]["last"] or 0) + 1
         logs |= {f"src-#{i + 1}_{k}": v for k, v in f.logs.items()}
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    place = every.sparkSession.createDataFrame(places, "_run int, _at long, _shift double, _frames long, _online long")
+    ranked = with_rank(every, "_key", "_i", by=("_run",)).join(F.broadcast(place), "_run")  # one row for each run
+    change: dict[str, Column] = {"event_idx": F.col("_i") + F.col("_at"), "index": F.col("_i") + F.col("_at") + 1}
+    change |= {c: F.col(c) + F.col(by) for c, by in (("time", "_shift"), ("frame", "_frames"), ("index_online", "_online")) if c in shared}
+    out = ranked.withColumns(change).select("event_idx", "index", *shared)
     meta = runs[0].meta.copy().set("experiment", "run index", 1).set("experiment", "event count", at)
     return replace(runs[0], df=out, meta=meta, logs=logs, basins=(), gating=(), excluded=None, key="event_idx")
 

@@ -106,7 +106,9 @@ def _fit(cells, slope: bool, restricted: bool) -> tuple[float, np.ndarray, float
 def compare(df: DataFrame, feature: str, treatment: str = "treatment") -> dict[str, float]:
     """Intercept and treatment effect (by restricted likelihood), and the p-value of a likelihood ratio test against the
     model without the treatment."""
-    rows = sufficient_sums(df, feature).collect()
+    x = F.col(feature).cast("double")
+    middle = df.where(finite(feature)).agg(F.avg(x)).first()[0] or 0.0  # sums of squares around it, or the residual would cancel
+    rows = sufficient_sums(df.withColumn(feature, x - middle), feature).collect()
     if len({r.group for r in rows}) != 2:
         raise ValueError("two groups are needed")
     reps = sorted({r.repetition for r in rows})
@@ -114,7 +116,7 @@ def compare(df: DataFrame, feature: str, treatment: str = "treatment") -> dict[s
     full, null = _fit(cells, True, False), _fit(cells, False, False)
     _, beta, variance = _fit(cells, True, True)
     chi = max(0.0, null[0] - full[0])
-    return {"intercept": beta[0], "treatment": beta[1], "variance": variance, "chi_square": chi, "p_value": math.erfc(math.sqrt(chi / 2))}
+    return {"intercept": beta[0] + middle, "treatment": beta[1], "variance": variance, "chi_square": chi, "p_value": math.erfc(math.sqrt(chi / 2))}
 
 
 def bootstrapped_medians(a: np.ndarray, b: np.ndarray, iterations: int = 1000, seed: int = 117) -> tuple[np.ndarray, np.ndarray]:

@@ -65,13 +65,18 @@ def channel_name_cues(columns: list[str], meta: Metadata) -> list[tuple]:
     return out
 
 
+def wrong_index(index: str = "index", key: str = "event_idx"):
+    """How many rows are not numbered from 1 in the order of events (WIN-07), as one aggregate; a null number is wrong too."""
+    return F.count_if(~F.col(index).eqNullSafe(F.col(key) + 1))
+
+
 def data_cues(df: DataFrame, meta: Metadata, catalog: Catalog | None = None) -> list[tuple]:
     """Rules on the events, from one aggregate over all of them."""
     catalog = catalog or Catalog()
     c, have = F.col, set(df.columns)
     checks = {"n": F.count("*")}
     if {"index", "event_idx"} <= have:
-        checks["index"] = F.count_if(c("index") != c("event_idx") + 1)
+        checks["index"] = wrong_index()
     for f in [f for f in have if f.startswith("fl") and f.endswith(("_max", "_max_ctc"))]:
         checks[f"low:{f}"] = F.min(finite_or_null(f))
     for f in [f for f in have if f.startswith("ml_score_")]:

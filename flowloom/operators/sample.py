@@ -22,28 +22,49 @@ def take_hashed(df: DataFrame, n: int, key: str = "event_idx", seed: int = SEED)
     return df if not n else df.orderBy(hash_order(key, seed), key).limit(n)
 
 
+#: take_exact permutes all positions on the driver (8 bytes each) and refuses more rows than these.
+EXACT_LIMIT = 20_000_000
+
+
 def take_exact(df: DataFrame, n: int, key: str = "event_idx", seed: int = SEED) -> DataFrame:
-    """n rows by numpy's legacy generator over row positions, for bit-equal results on inputs that a driver can number.
+    """n rows by numpy's legacy generator over row positions, for bit-equal results on inputs that a driver can number:
+    more than EXACT_LIMIT rows are refused, take_hashed has no such bound.
 
     Positions are ranks of the key; the chosen ranks (n numbers) are joined back.
     """
     total = df.count()
     if not n or n >= total:
         return df
+    if total > EXACT_LIMIT:
+        raise ValueError(f"{total} rows are too many to number on the driver; use take_hashed")
     chosen = np.random.RandomState(seed).choice(total, size=n, replace=False)
     ranks = df.sparkSession.createDataFrame([(int(i),) for i in np.sort(chosen)], "_rank long")
     return with_rank(df, key).join(F.broadcast(ranks), "_rank", "left_semi").drop("_rank")
 
 
-def with_rank(df: DataFrame, key: str, name: str = "_rank", cell_bits: int = 16) -> DataFrame:
-    """0-based rank by an integer key without a single-task window: ranks within cells of 2**cell_bits keys plus the
-    sizes of all cells before."""
+def with_rank(df: DataFrame, key: str, name: str = "_rank", cell_bits: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
+    """0-based rank by an integer key, within each value of the columns `by`, without a single-task window however the keys
+    are spread: ranks within cells of 2**cell_bits keys, plus the sizes of the cells before in groups of 2**cell_bits
+    cells, and so on up; no window sees more than 2**cell_bits distinct values."""
     cell = F.shiftright(F.col(key).cast("long"), cell_bits)
     celled = df.withColumn("_cell", cell)
-    sizes = celled.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = sizes.select("_cell", (F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
-    return celled.withColumn(name, own).join(before, "_cell").withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_cell", "_before")
+    before = _before([*by], celled.groupBy(*by, "_cell").agg(F.count("*").alias("_n")), cell_bits, 64 - cell_bits)
+    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(key)) - 1
+    return celled.withColumn(name, own).join(before, [*by, "_cell"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_cell", "_before")
+
+
+def _before(by: list[str], sizes: DataFrame, bits: int, left: int) -> DataFrame:
+    """(by..., _cell, _before): how many rows lie in smaller cells, from (by..., _cell, _n); `left` bits of cells remain."""
+    if left <= bits:
+        window = Window.partitionBy(*by) if by else Window.partitionBy()
+        total = F.sum("_n").over(window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+        return sizes.select(*by, "_cell", F.coalesce(total, F.lit(0)).alias("_before"))
+    grouped = sizes.withColumn("_up", F.shiftright("_cell", bits))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_up").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    above = _before(by, grouped.groupBy(*by, F.col("_up").alias("_cell")).agg(F.sum("_n").alias("_n")), bits, left - bits)
+    above = above.select(*by, F.col("_cell").alias("_up"), F.col("_before").alias("_above"))
+    placed = grouped.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(above, [*by, "_up"])
+    return placed.select(*by, "_cell", (F.col("_inside") + F.col("_above")).alias("_before"))
 
 
 def grid_cells(df: DataFrame, x: str, y: str, grid: int = GRID) -> DataFrame:

@@ -15,19 +15,25 @@ from flowloom.functions.numeric import NAN, finite_or_null
 EXACT_ROWS = 5_000_000
 
 
-def _quantile(q: float) -> Callable[[Column], Column]:
-    return lambda x: F.percentile(x, F.lit(q))
+class Quantile:
+    """An exact, linearly interpolated quantile; `describe` takes all of a feature's quantiles from one aggregate."""
+
+    def __init__(self, q: float):
+        self.q = q
+
+    def __call__(self, x: Column) -> Column:
+        return F.percentile(x, F.lit(self.q))
 
 
 #: Aggregates of one feature, by name; register more by adding to a copy of this.
 METHODS: dict[str, Callable[[Column], Column]] = {
     "Mean": F.avg,
-    "Median": _quantile(0.5),
+    "Median": Quantile(0.5),
     "SD": F.stddev_pop,
-    "10th Percentile": _quantile(0.1),
-    "25th Percentile": _quantile(0.25),
-    "75th Percentile": _quantile(0.75),
-    "90th Percentile": _quantile(0.9),
+    "10th Percentile": Quantile(0.1),
+    "25th Percentile": Quantile(0.25),
+    "75th Percentile": Quantile(0.75),
+    "90th Percentile": Quantile(0.9),
     "Min": F.min,
     "Max": F.max,
 }
@@ -57,13 +63,32 @@ def event_counts(gate: Column | None = None) -> list[Column]:
     return [F.count_if(inside).alias("Events"), (F.avg(inside.cast("int")) * 100).alias("%-gated")]
 
 
-def describe(df: DataFrame, features: Sequence[str], methods=METHODS, gate: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Long form (by..., feature, method, value) from one pass. Features that df lacks have NaN."""
+def describe(df: DataFrame, features: Sequence[str], methods=METHODS, gate: Column | None = None, by: Sequence[str] = (), exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Long form (by..., feature, method, value) from one pass. Features that df lacks have NaN.
+
+    A feature's quantiles share one aggregate, whose state grows with distinct values. Without groups, more than EXACT_ROWS
+    rows have theirs selected by exact_quantiles first, in passes of bounded state."""
     have = [f for f in features if f in df.columns]
     table = methods if isinstance(methods, dict) else {m: METHODS[m] for m in methods}
+    qs = {m: f for m, f in table.items() if isinstance(f, Quantile)}
+    rest = {m: f for m, f in table.items() if m not in qs}
+    wanted = F.array(*[F.lit(f.q) for f in qs.values()]) if qs else None
+    if qs and have and not by and df.count() > exact_rows:
+        found = {f: exact_quantiles(df.select(_gated(gate, F.col(f).cast("double")).alias(f)), f, [q.q for q in qs.values()]) for f in have}
+        sorts = {f: F.array(*map(F.lit, v)) for f, v in found.items()}
+        extra = []
+    else:
+        sorts = {f: F.col(f"`_q {f}`") for f in have}
+        extra = [F.percentile(_gated(gate, finite_or_null(f)), wanted).alias(f"_q {f}") for f in have] if qs else []
     grouped = df.groupBy(*by) if by else df.groupBy()
-    wide = grouped.agg(F.count("*").alias("_n"), *aggregates(have, table, gate))
-    cells = [F.struct(F.lit(f).alias("feature"), F.lit(m).alias("method"), (F.col(f"`{m} {f}`") if f in have else F.lit(NAN)).cast("double").alias("value")) for f in features for m in table]
+    wide = grouped.agg(F.count("*").alias("_n"), *aggregates(have, rest, gate), *extra)
+
+    def cell(f: str, m: str) -> Column:
+        if f not in have:
+            return F.lit(NAN)
+        return F.coalesce(sorts[f][list(qs).index(m)], F.lit(NAN)) if m in qs else F.col(f"`{m} {f}`")
+
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(m).alias("method"), cell(f, m).cast("double").alias("value")) for f in features for m in table]
     return wide.select(*by, F.explode(F.array(*cells)).alias("s")).select(*by, "s.feature", "s.method", "s.value")
 
 

@@ -101,5 +101,5 @@ def lmm_fit(spark, sf_dir):
 
 @query()
 def bootstrap_medians(spark, sf_dir):
-    o = _groups(spark, sf_dir).where("repetition < 2").withColumn("region", F.when(F.rint("x") % 2 == 0, "channel").otherwise("reservoir"))
-    return M.differential(o, "x", iterations=50)
+    o = _groups(spark, sf_dir).withColumn("region", F.when(F.rint("x") % 2 == 0, "channel").otherwise("reservoir"))
+    return M.differential(o, "x")

@@ -185,6 +185,17 @@ def stats_approximate(spark, sf_dir):
     return out.where(F.col("method").isin("Mean", "Min", "Max")).withColumn("value", F.round("value", 6))
 
 
+@query("SELECT method, true AS within FROM (VALUES ('10th Percentile'), ('25th Percentile'), ('Median'), ('75th Percentile'), ('90th Percentile')) m(method) WHERE EXISTS (SELECT 1 FROM events)")
+def sketched_quantile_ranks(spark, sf_dir):
+    """Whether sketched quantiles stand where they should in the order of all values, to a thousandth."""
+    e = table(spark, sf_dir, "events")
+    named = stats.describe(e, ["value"], stats.APPROXIMATE).where("method like '%Percentile' or method = 'Median'").select("method", F.col("value").alias("at"))
+    q = F.when(F.col("method") == "Median", 0.5).otherwise(F.regexp_extract("method", "([0-9]+)", 1).try_cast("double") / 100)
+    placed = e.select("value").crossJoin(F.broadcast(named))  # five rows
+    ranks = placed.groupBy("method").agg(F.avg((F.col("value") < F.col("at")).cast("int")).alias("less"), F.avg((F.col("value") <= F.col("at")).cast("int")).alias("upto"))
+    return ranks.select("method", ((F.col("less") - 0.001 <= q) & (q <= F.col("upto") + 0.001)).alias("within"))
+
+
 @query()
 def limit_events_exact(spark, sf_dir):
     return sample.take_exact(table(spark, sf_dir, "events"), 300, "event_id").select("event_id", "value")

@@ -25,15 +25,16 @@ def child_reindex(spark, sf_dir):
     return _grandchild(spark, sf_dir).select("root_idx", "parent_idx", "event_idx", "index", "value")
 
 
-@query(f"SELECT event_idx AS child_idx, root_idx FROM ({_GRAND}) WHERE event_idx % 5 = 2")
+@query(f"SELECT event_idx AS child_idx, root_idx FROM ({_GRAND})")
 def child_to_root(spark, sf_dir):
     c = _grandchild(spark, sf_dir)
-    return H.child_to(c, c.select(F.col("event_idx").alias("child_idx")).where("child_idx % 5 = 2"), "root")
+    return H.child_to(c, c.select(F.col("event_idx").alias("child_idx")), "root")
 
 
-@query(f"SELECT parent_idx, event_idx AS child_idx FROM ({_GRAND}) WHERE parent_idx < 400")
+@query(f"SELECT parent_idx, event_idx AS child_idx FROM ({_GRAND})")
 def parent_to_child(spark, sf_dir):
-    return H.to_child(_grandchild(spark, sf_dir), spark.range(400).select(F.col("id").alias("parent_idx")))
+    every = H.child(_root(spark, sf_dir), F.col("value") > 30).select(F.col("event_idx").alias("parent_idx"))
+    return H.to_child(_grandchild(spark, sf_dir), every)
 
 
 @query("SELECT event_id AS event_idx, CASE WHEN value > 30 AND event_id % 2 = 0 THEN value * 2 END AS doubled FROM events")

@@ -10,9 +10,9 @@ from flowloom.operators import lut as L
 from flowloom.plans.registry import query, table
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity / 100.0, 6) AS time, round(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END, 6) AS aspect, round(l_quantity * 0.34 * 0.34, 6) AS area_um, round(1 - l_discount, 6) AS deform FROM lineitem WHERE l_orderkey % 7 = 3")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / 100.0, 6) AS time, round(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END, 6) AS aspect, round(l_quantity * 0.34 * 0.34, 6) AS area_um, round(1 - l_discount, 6) AS deform FROM lineitem")
 def derived_basic(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 3").withColumns({"frame": F.col("l_quantity"), "size_x": F.col("l_tax"), "size_y": F.col("l_discount"), "area_cvx": F.col("l_quantity"), "circ": F.col("l_discount")})
+    x = table(spark, sf_dir, "lineitem").withColumns({"frame": F.col("l_quantity"), "size_x": F.col("l_tax"), "size_y": F.col("l_discount"), "area_cvx": F.col("l_quantity"), "circ": F.col("l_discount")})
     config = {"frame rate": 100, "pixel size": 0.34}
     value = {n: F.round(F.nanvl(P.derived(n, config), F.lit(None)), 6).alias(n) for n in ("time", "aspect", "area_um", "deform")}
     return x.select("l_orderkey", "l_linenumber", *value.values())
@@ -22,10 +22,10 @@ _CT = {"12": 0.1, "13": 0.02, "21": 0.2, "23": 0.05, "31": 0.01, "32": 0.15}
 _INV = P.compensation_matrix(_CT)
 
 
-@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({' + '.join(f'({float(_INV[i, j])!r}::DOUBLE) * {c}' for i, c in enumerate(('l_quantity', 'l_discount', 'l_tax')))}, 5) AS fl{j + 1}_max_ctc" for j in range(3)) + " FROM lineitem WHERE l_orderkey % 5 = 0")
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({' + '.join(f'({float(_INV[i, j])!r}::DOUBLE) * {c}' for i, c in enumerate(('l_quantity', 'l_discount', 'l_tax')))}, 5) AS fl{j + 1}_max_ctc" for j in range(3)) + " FROM lineitem")
 def crosstalk3(spark, sf_dir):
     ch = {1: F.col("l_quantity"), 2: F.col("l_discount"), 3: F.col("l_tax")}
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", *[F.round(P.compensated(ch, _CT, j), 5).alias(f"fl{j}_max_ctc") for j in (1, 2, 3)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(P.compensated(ch, _CT, j), 5).alias(f"fl{j}_max_ctc") for j in (1, 2, 3)])
 
 
 @query("SELECT ml_class, count(*) AS n FROM (SELECT CASE WHEN greatest(a, b, c) <= 0 THEN -1 WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS ml_class FROM (SELECT l_discount AS a, l_tax AS b, CASE WHEN l_linenumber = 2 THEN 0.0 ELSE 0.05 END AS c FROM lineitem)) GROUP BY ml_class")
@@ -39,17 +39,17 @@ _T = "(22.0 + l_linenumber)"
 _N22 = f"(0.00223 * ({_T} + 273.15) - 0.0056)"
 
 
-@query(f"SELECT l_linenumber, round(any_value(2.30e-6 * exp(3379.7 / ({_T} + 273.15)) * pow(8 * 0.16 / pow(20e-3, 3) * (0.6671 + 0.2121 / {_N22}), {_N22} - 1) * 1e3), 6) AS new, round(any_value(0.179 * pow(1.1856 * 6 * 0.16 * 1e-9 / pow(20e-6, 3) * 2 / 3 * (0.6771 / 0.5928 + 0.2121 / (0.5928 * 0.677)), 0.677 - 1) * pow({_T} / 23.2, -0.866) * 1e3), 6) AS old, round(any_value(1.002 * pow(10, (20 - {_T}) / ({_T} + 96) * (1.2364 - 1.37e-3 * (20 - {_T}) + 5.7e-6 * pow(20 - {_T}, 2)))), 6) AS water FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_linenumber")
+@query(f"SELECT l_linenumber, round(any_value(2.30e-6 * exp(3379.7 / ({_T} + 273.15)) * pow(8 * 0.16 / pow(20e-3, 3) * (0.6671 + 0.2121 / {_N22}), {_N22} - 1) * 1e3), 6) AS new, round(any_value(0.179 * pow(1.1856 * 6 * 0.16 * 1e-9 / pow(20e-6, 3) * 2 / 3 * (0.6771 / 0.5928 + 0.2121 / (0.5928 * 0.677)), 0.677 - 1) * pow({_T} / 23.2, -0.866) * 1e3), 6) AS old, round(any_value(1.002 * pow(10, (20 - {_T}) / ({_T} + 96) * (1.2364 - 1.37e-3 * (20 - {_T}) + 5.7e-6 * pow(20 - {_T}, 2)))), 6) AS water FROM lineitem GROUP BY l_linenumber")
 def viscosity_models(spark, sf_dir):
     t = F.lit(22.0) + F.col("l_linenumber")
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select("l_linenumber").distinct()
+    x = table(spark, sf_dir, "lineitem").select("l_linenumber").distinct()
     return x.select("l_linenumber", F.round(P.viscosity("0.49% MC-PBS", t), 6).alias("new"), F.round(P.viscosity("0.5% MC-PBS", t, model="herold-2017"), 6).alias("old"), F.round(P.viscosity("water", t), 6).alias("water"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(0.0012 + 0.020 * exp(-l_quantity / 7.1) + 0.010 * exp(-l_quantity / 38.6) + 0.005 * exp(-l_quantity / 296), 7) AS by_area, round(-(0.0013 + 0.0172 * exp(-l_quantity * 8 / 40) + 0.0070 * exp(-l_quantity * 8 / 450) + 0.0032 * exp(-l_quantity * 8 / 6040)), 7) AS by_volume FROM lineitem WHERE l_orderkey % 11 = 1")
+@query("SELECT l_orderkey, l_linenumber, round(0.0012 + 0.020 * exp(-l_quantity / 7.1) + 0.010 * exp(-l_quantity / 38.6) + 0.005 * exp(-l_quantity / 296), 7) AS by_area, round(-(0.0013 + 0.0172 * exp(-l_quantity * 8 / 40) + 0.0070 * exp(-l_quantity * 8 / 450) + 0.0032 * exp(-l_quantity * 8 / 6040)), 7) AS by_volume FROM lineitem")
 def pixelation_delta(spark, sf_dir):
     q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 1").select("l_orderkey", "l_linenumber", F.round(P.pixelation_delta("area_um", column=q), 7).alias("by_area"), F.round(P.pixelation_delta("volume", "circ", 0.17, q), 7).alias("by_volume"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(P.pixelation_delta("area_um", column=q), 7).alias("by_area"), F.round(P.pixelation_delta("volume", "circ", 0.17, q), 7).alias("by_volume"))
 
 
 @query("SELECT p_partkey, round(p_retailprice * 0.5625, 6) AS area, round(p_retailprice * 0.421875, 6) AS volume, round(p_retailprice * (0.12 / 0.04) * (5.5 / 15) / 0.421875, 3) AS emodulus FROM part")

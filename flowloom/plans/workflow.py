@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowloom.catalog import Catalog, Metadata
 from flowloom.frame import EventFrame
-from flowloom.operators import etl, quality
+from flowloom.operators import basins, etl, quality
 from flowloom.operators.derive import Recipe, Resolver
 from flowloom.plans.registry import query, table
 
@@ -48,19 +48,25 @@ def export_tsv(spark, sf_dir):
 
 @query("SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM (SELECT event_id, md5(user_id || '_' || event_type || '_' || event_id) AS h FROM events)")
 def measurement_id(spark, sf_dir):
-    h = F.md5(F.concat_ws("_", F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")))
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_replace(h, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5").alias("id"))
+    return table(spark, sf_dir, "events").select("event_id", EventFrame.identifiers(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("id"))
 
 
 @query("SELECT count_if(event_id % 100 = 99) AS wrong, count(*) AS n FROM events")
 def index_check(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 100 == 99, 0).otherwise(F.col("event_id") + 1).alias("index"))
-    return e.agg(F.count_if(F.col("index") != F.col("event_id") + 1).alias("wrong"), F.count("*").alias("n"))
+    return e.agg(quality.wrong_index("index", "event_id").alias("wrong"), F.count("*").alias("n"))
 
 
-@query("SELECT level, count(*) AS n FROM (VALUES ('info'), ('info'), ('violation'), ('violation'), ('violation'), ('alert')) v(level) GROUP BY level")
+_CUES = """SELECT 'info' AS level UNION ALL SELECT 'info'
+UNION ALL SELECT 'violation' WHERE '0' = '0' -- the pixel size isn't positive
+UNION ALL SELECT 'violation' FROM events HAVING count_if(1 <> event_id + 1) > 0
+UNION ALL SELECT 'violation' FROM events HAVING count_if(user_id * 0 <> 0) = 0 AND count(*) > 0
+UNION ALL SELECT 'alert' FROM events HAVING min(value * 0) <= 0.1"""
+
+
+@query(f"SELECT level, count(*) AS n FROM ({_CUES}) GROUP BY level")
 def quality_report(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.col("event_id").alias("event_idx"), F.lit(1).cast("long").alias("index"), (F.col("value") * 0).alias("fl1_max"), F.lit(0.0).alias("temp"))
+    df = table(spark, sf_dir, "events").select(F.col("event_id").alias("event_idx"), F.lit(1).cast("long").alias("index"), (F.col("value") * 0).alias("fl1_max"), (F.col("user_id") * 0.0).alias("temp"))
     complete = {s: {k: "1" for k in keys} for s, keys in quality.REQUIRED.items()}
     complete["fluorescence"] = {k: "1" for k in quality.REQUIRED_FLUORESCENCE} | {"channel 1 name": "a", "laser 1 lambda": 488}
     complete["imaging"] |= {"pixel size": "0"}
@@ -69,20 +75,21 @@ def quality_report(spark, sf_dir):
     return quality.summary(quality.check(df, meta))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity / l_extendedprice, 9) AS per_area, round(l_quantity * l_extendedprice, 2) AS times_area FROM lineitem WHERE l_orderkey % 13 = 0")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / l_extendedprice, 9) AS per_area, round(l_quantity * l_extendedprice, 2) AS times_area FROM lineitem")
 def plugin_features(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").where("l_orderkey % 13 = 0").withColumns({"circ": F.col("l_quantity"), "area_um": F.col("l_extendedprice")})
+    df = table(spark, sf_dir, "lineitem").withColumns({"circ": F.col("l_quantity"), "area_um": F.col("l_extendedprice")})
     both = Recipe(("per_area", "times_area"), lambda c: {"per_area": F.col("circ") / F.col("area_um"), "times_area": F.col("circ") * F.col("area_um")}, ("circ", "area_um"))
     out = Resolver([both]).add(df, ["per_area"], Metadata())
     return out.select("l_orderkey", "l_linenumber", F.round("per_area", 9).alias("per_area"), F.round("times_area", 2).alias("times_area"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, 'run' || user_id AS name, 'basinmap' || (event_id % 10) AS mapping, [event_type, 'deform'] AS features FROM events")
 def json_properties(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    text = F.to_json(F.struct(F.concat(F.lit("run"), F.col("user_id")).alias("name"), F.concat(F.lit("basinmap"), F.col("event_id") % 10).alias("mapping"), F.array("event_type", F.lit("deform")).alias("features")))
+    return basins.definitions(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text").select("event_id", "name", "mapping", "features")
 
 
-@query("SELECT 'Convex area' AS label, 'area_um' AS feature UNION ALL SELECT 'Deformation', 'deform' UNION ALL SELECT 'Probability of class ABC', 'ml_score_abc'")
+@query("SELECT 'Area' AS label, 'area_um' AS feature UNION ALL SELECT 'Deformation', 'deform' UNION ALL SELECT 'ML score ABC', 'ml_score_abc'")
 def feature_labels(spark, sf_dir):
     c = Catalog()
     return spark.createDataFrame([(c.label(f, unit=False), f) for f in ("area_um", "deform", "ml_score_abc")], "label string, feature string")

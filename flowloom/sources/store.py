@@ -96,7 +96,8 @@ def write_store(frame: EventFrame, path: str, features: Sequence[str] | None = N
 
     start = 0
     if mode == "append":
-        start = (spark.read.parquet(f"{path}/events").agg(F.max("event_idx")).first()[0] or -1) + 1
+        last = spark.read.parquet(f"{path}/events").agg(F.max("event_idx")).first()[0]
+        start = 0 if last is None else last + 1
     ranked = with_rank(df, frame.key, "_new").withColumn("_new", F.col("_new") + start)
     keep = [n for n in names if n not in ("index", "event_idx")]
     out = ranked.select(F.col("_new").alias("event_idx"), (F.col("_new") + 1).alias("index"), F.col(frame.key).alias("root_idx"), *keep)
