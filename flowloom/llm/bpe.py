@@ -12,10 +12,14 @@ import functools
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
 _NONE = np.iinfo(np.int64).max
+#: Sequences of more symbols are encoded by tree concatenation, in leaves of so many: rounds of merging grow with a leaf, not
+#: with the sequence.
+LONG, LEAF = 256, 48
 #: The largest code point for which Python and the tokenizers library are known to fold and classify alike.
 _PLAIN = 0x17F
 
@@ -54,7 +58,11 @@ class Vocabulary:
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ignore_merges = bool(model.get("ignore_merges"))
-        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) or any(t.get("normalized") and spec.get("normalizer") for t in added):
+            raise ValueError(f"{path}: added tokens that take blanks with them, stand for whole words or are looked for in normalised text are not supported")
+        self.specials = {t["content"]: t["id"] for t in added}
+        self._first = re.compile("[" + "".join(re.escape(c) for c in sorted({t[0] for t in self.specials})) + "]").search if self.specials else None
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.size = 1 + max([*vocab.values(), *self.specials.values()])
         self.token = [""] * self.size
@@ -68,6 +76,7 @@ class Vocabulary:
         self._byte = {c: b for b, c in enumerate(letters)}
         self._library = Tokenizer.from_file(path)
         self._plain = self._plain_splitter(spec)
+        self.prefixed = '"add_prefix_space": true' in json.dumps(spec.get("pre_tokenizer"))
         self._expanded: dict[int, np.ndarray] = {int(i): np.array([i]) for i in {*self.inner.tolist(), *self.final.tolist()}}
 
     def _load_merges(self, merges: list, vocab: dict[str, int]) -> None:
@@ -96,29 +105,35 @@ class Vocabulary:
         find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_SPACES}{letters}{digits}]+").findall
         return find, re.compile(f"[^\\x00-\\u{_PLAIN:04x}]").search
 
+    def sections(self, text: str) -> list:
+        """The text cut at special strings, these as their ids."""
+        if self._special is None or self._first(text) is None or not self._special.search(text):
+            return [text]
+        return [self.specials[part] if k % 2 else part for k, part in enumerate(self._special.split(text)) if k % 2 or part]
+
     def pieces(self, text: str) -> list:
         """Pre-tokens as text in order; a special token appears as its id."""
-        if self._special is None or "<" not in text or not self._special.search(text):
-            return self._pieces(text)
         out: list = []
-        for k, part in enumerate(self._special.split(text)):
-            if k % 2:
-                out.append(self.specials[part])
-            elif part:
-                out += self._pieces(part)
+        for part in self.sections(text):
+            if part.__class__ is int:
+                out.append(part)
+            else:
+                text, cut = self.normal(part)
+                out += cut(text)
         return out
 
-    def _pieces(self, text: str) -> list[str]:
+    def normal(self, text: str) -> tuple[str, Callable[[str], list[str]]]:
+        """The normalised text, and how it and parts of it are cut into pre-tokens. These are parts of it, in order."""
         if self._plain is not None:
             find, odd = self._plain
             if odd(text) is None:
-                return find(text.lower())
+                return text.lower(), find
         lib = self._library
-        if lib.normalizer is not None:
-            text = lib.normalizer.normalize_str(text)
-        cut = [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(text)]
+        return text if lib.normalizer is None else lib.normalizer.normalize_str(text), self._library_cut
+
+    def _library_cut(self, text: str) -> list[str]:
         byte = self._byte
-        return [bytes(map(byte.__getitem__, w)).decode("utf-8", "surrogateescape") for w in cut]
+        return [bytes(map(byte.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def symbols(self, piece: str) -> np.ndarray:
         raw = np.frombuffer(piece.encode("utf-8", "surrogateescape"), np.uint8)
@@ -188,7 +203,7 @@ class Vocabulary:
             found = self._expanded[token] = np.concatenate([self.expand(a), self.expand(b)])
         return found
 
-    def encode_by_tree(self, symbols: np.ndarray, leaf: int = 256) -> np.ndarray:
+    def encode_by_tree(self, symbols: np.ndarray, leaf: int = LEAF) -> np.ndarray:
         """Encode one long sequence: leaves side by side, then pairs of halves, level by level."""
         level = self.merge([symbols[i : i + leaf] for i in range(0, len(symbols), leaf)])
         while len(level) > 1:

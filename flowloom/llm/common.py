@@ -49,6 +49,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """left join right on the key, without one task for the keys that most rows of left have: rows of right for which `hot`
+    is true, at most a thousand or so by the caller's bound, are sent to all tasks; the others are shuffled."""
+    sent, rest = right.where(hot), right.where(~hot)
+    near = left.join(F.broadcast(sent), key)
+    far = left.join(F.broadcast(sent.select(key)), key, "left_anti").join(rest, key)
+    return near.unionByName(far)
+
+
 class TwoAgeCache:
     """A dict of bounded size: when the young half is full it becomes the old half, and the old half goes."""
 

@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import WORD, ascii_lower, read, settle, text_or_empty
+from flowloom.llm.common import WORD, ascii_lower, read, settle, text_or_empty, unused
 
-#: A benchmark whose texts together are longer is scanned in blocks of about so many bytes, one automaton each.
-BLOCK_BYTES = 32_000_000
+#: A benchmark of more words is scanned in blocks of about so many, one automaton each. An automaton has at most 13 nodes a
+#: word, which were measured to take 1.2 kB together.
+BLOCK_WORDS = 150_000
 
 _automata: dict = {}
 
@@ -29,15 +30,17 @@ class WindowAutomaton:
 
         self.number: dict[str, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
+        shared: dict[tuple, tuple] = {}
         for item, text in items:
             words = [self.number.setdefault(w, len(self.number) + 1) for w in WORD.findall(ascii_lower(text))]
             for i in range(max(1, len(words) - size + 1) if words else 0):
                 owners.setdefault(tuple(words[i : i + size]), set()).add(item)
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, own in owners.items():
-            self.trie.add_word(window, (len(window), frozenset(own)))
         self.empty = not owners
-        if owners:
+        while owners:
+            window, own = owners.popitem()
+            self.trie.add_word(window, shared.setdefault((len(window), frozenset(own)), (len(window), frozenset(own))))
+        if not self.empty:
             self.trie.make_automaton()
 
     def scan(self, words: list[str]) -> list[tuple[int, int, frozenset]]:
@@ -97,16 +100,33 @@ def _scan_block(docs: DataFrame, carried: list[str], shared: tuple, size: int) -
     return slim.mapInArrow(run, f"{kept}, {_FOUND}")
 
 
-def _shared_blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple]:
-    """The items as broadcasts of about block_bytes each; the number of blocks follows from the measured size."""
+def _item_parts(benchmark: DataFrame, size: int, words: int) -> DataFrame:
+    """(item, part, n, text): the words of the items, those of long ones in parts that share size - 1 words, so that each
+    window is in one part and no part but an item's only one has fewer words than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                found = WORD.findall(ascii_lower(text))
+                starts = range(0, max(1, len(found) - size + 1), words)
+                parts = [found[a : a + words + size - 1] for a in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(map(len, parts), pa.int64()), pa.array([" ".join(p) for p in parts], pa.string())], ["item", "part", "n", "text"])
+
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_or_empty().alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    return items.mapInArrow(run, "item string, part long, n long, text string").where("n > 0")
+
+
+def _shared_blocks(benchmark: DataFrame, size: int, block_words: int) -> list[tuple]:
+    """The items as broadcasts of about block_words each; the number of blocks follows from the measured size."""
+    items = settle(_item_parts(benchmark, size, max(1, block_words // 8)))
+    total = items.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
     sc = benchmark.sparkSession.sparkContext
-    return [(uuid.uuid4().hex, sc.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()])) for k in range(blocks)]
+    mine = F.pmod(F.xxhash64("item", "part", "text"), F.lit(blocks))
+    return [(uuid.uuid4().hex, sc.broadcast([tuple(r) for r in items.where(mine == k).select("item", "text").collect()])) for k in range(blocks)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, ranges and spans (disjoint word ranges and character ranges of
     the original text that lie in an occurrence of a window), items (their item ids as sorted strings).
 
@@ -114,11 +134,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
     benchmark finds nothing. The benchmark is read in blocks of a checked size; each block's automaton scans every text
     once. Offsets are code points.
     """
-    return _find(docs.select("doc_id", text_or_empty().alias("text")), benchmark, size, block_bytes)
+    return _find(docs.select("doc_id", text_or_empty().alias("text")), benchmark, size, block_words)
 
 
-def _find(slim: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, row: str = "row") -> DataFrame:
-    blocks = _shared_blocks(benchmark, block_bytes)
+def _find(slim: DataFrame, benchmark: DataFrame, size: int, block_words: int, row: str = "row") -> DataFrame:
+    blocks = _shared_blocks(benchmark, size, block_words)
     ids = [c for c in slim.columns if c != "text"]
     if len(blocks) == 1:
         return _scan_block(slim, ids, blocks[0], size)
@@ -140,24 +160,25 @@ def _hit_words():
     return F.aggregate("ranges", F.lit(0).cast("bigint"), lambda acc, r: acc + r[1] - r[0])
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: hit words are at least 1 in `share` of all."""
-    found = find_contamination(docs, benchmark, size, block_bytes).withColumn("n_hit", _hit_words())
+    found = find_contamination(docs, benchmark, size, block_words).withColumn("n_hit", _hit_words())
     judged = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), judged.alias("contaminated"), "spans")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns; rows with a null text have no words and stay.
 
     With one block (the usual case) the decision falls where the row is read, without a shuffle; with more, what the
     blocks find is brought together by row.
     """
-    blocks = _shared_blocks(benchmark, block_bytes)
+    blocks = _shared_blocks(benchmark, size, block_words)
     if len(blocks) > 1:
-        kept = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-        found = _find(kept.select("_row", text_or_empty().alias("text")), benchmark, size, block_bytes, "_row").withColumn("n_hit", _hit_words())
-        return kept.join(found.where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))), "_row", "left_anti").select(*docs.columns)
+        row = unused(docs.columns, "_row")
+        kept = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = _find(kept.select(row, text_or_empty().alias("text")), benchmark, size, block_words, row).withColumn("n_hit", _hit_words())
+        return kept.join(found.where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))), row, "left_anti").select(*docs.columns)
     column, block = docs.columns.index("text"), blocks[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import WORD, TwoAgeCache, ascii_lower, read, settle, text_or_empty
+from flowloom.llm.common import WORD, TwoAgeCache, ascii_lower, join_spread, read, settle, text_or_empty, unused
 from flowloom.llm.graph import components
 
 T, LIMIT, DEPTH, BLOCK = 64, 256, 3, 512
@@ -290,7 +290,8 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     member = near.join(sizes, "root").select(F.col("node").alias("sig"), F.col("root").alias("comp"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     member = settle(member.join(reps.select("sig", "rep", "copies"), "sig").select("sig", "comp", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("doc"), "copies"))
     small = member.count() <= max_sent
-    sets = _sets(texts, words).join(F.broadcast(member) if small else member, ["sig", "doc"])
+    held = member.select("doc").distinct()  # only these texts are cut into shingles once more
+    sets = _sets(texts.join(F.broadcast(held) if small else held, "doc", "left_semi"), words).join(F.broadcast(member) if small else member, ["sig", "doc"])
     cells = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "sig", "block", "copies", "set")
     linked = settle(_verify(cells, similarity))
     links = linked.groupBy("sig").agg(F.sum("links").alias("links"))
@@ -299,10 +300,12 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     least = named.groupBy("root").agg(F.min("rep").alias("class"))
     of_sig = named.join(least, "root").select(F.col("node").alias("sig"), "class")
     known = reps.select("sig", "rep", "copies").join(links, "sig", "left").join(of_sig, "sig", "left")
-    known = known.select("sig", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = known.select("sig", "copies", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     kind = docs.schema["doc_id"].dataType
     real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).cast(kind)
-    return signed.select("doc", "sig", "n").join(known, "sig").select(real("doc").alias("doc_id"), real("class").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
+    total = signed.count()
+    every = join_spread(signed.select("doc", "sig", "n"), settle(known), "sig", 1000 * F.col("copies") >= total)
+    return every.select(real("doc").alias("doc_id"), real("class").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -312,12 +315,14 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     numbers of their own, and of each class the row that was read first stays.
     """
     if docs.groupBy(_doc()).count().where("count > 1").isEmpty():
-        gone = link_documents(docs, **options).where("n_shingles > 0 and not doc_id <=> class_id").select(_doc().alias("_doc"))
-        return docs.withColumn("_doc", _doc()).join(gone, "_doc", "left_anti").select(*docs.columns)
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = link_documents(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
-    gone = found.where("n_shingles > 0 and doc_id != class_id").select(F.col("doc_id").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+        own = unused(docs.columns, "_doc")
+        gone = link_documents(docs, **options).where("n_shingles > 0 and not doc_id <=> class_id").select(_doc().alias(own))
+        return docs.withColumn(own, _doc()).join(gone, own, "left_anti").select(*docs.columns)
+    row = unused(docs.columns, "_row")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = link_documents(numbered.select(F.col(row).alias("doc_id"), "text"), **options)
+    gone = found.where("n_shingles > 0 and doc_id != class_id").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

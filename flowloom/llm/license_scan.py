@@ -38,18 +38,26 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
         self.longest = max(map(len, self.words))
+        self.pad = max(_PAD, *map(self._without_cue, self.words))
+
+    @staticmethod
+    def _without_cue(words: list[str]) -> int:
+        """The longest stretch of a wording that has no cue word, so that blocks around these hold all of it."""
+        at = [-1, *[i for i, w in enumerate(words) if _CUE_WORD.fullmatch(w)], len(words)]
+        return max(b - a for a, b in zip(at, at[1:]))
 
     def blocks(self, words: list[str]) -> list[tuple[int, int]]:
         """Word ranges around groups of cue words; longer ones are cut with overlaps that hold any wording."""
         out: list[list[int]] = []
         for i, w in enumerate(words):
             if _CUE_WORD.fullmatch(w):
-                if out and i - _PAD <= out[-1][1] + _GAP:
-                    out[-1][1] = min(len(words), i + 1 + _PAD)
+                if out and i - self.pad <= out[-1][1] + _GAP:
+                    out[-1][1] = min(len(words), i + 1 + self.pad)
                 else:
-                    out.append([max(0, i - _PAD), min(len(words), i + 1 + _PAD)])
-        step = _CHUNK - 2 * self.longest
-        return [(lo, min(z, lo + _CHUNK)) for a, z in out for lo in range(a, max(a + 1, z - 2 * self.longest), step)]
+                    out.append([max(0, i - self.pad), min(len(words), i + 1 + self.pad)])
+        size = max(_CHUNK, 4 * self.longest)  # so that a step is never shorter than the longest wording
+        step = size - 2 * self.longest
+        return [(lo, min(z, lo + size)) for a, z in out for lo in range(a, max(a + 1, z - 2 * self.longest), step)]
 
     def ranked(self, words: list[str]) -> list[tuple[int, int]]:
         """(bytes saved, wording), best first."""
@@ -132,7 +140,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row (doc_id, n_blocks, notices array<struct>) for each row of docs; null and empty texts have none.
 
-    A notice has its licence, code point offsets, share of agreeing words, bytes saved by its wording as dictionary, and
+    Texts of any length are scanned whole, in blocks that overlap by two of the longest wording; an empty table gives no rows.
+    Of wordings that agree with one place, the longest wins, then the one that agrees better, then the one that saves more
+    bytes, then the first. A wording of any length will do, if it holds one of the cue words. A notice has its licence, code point offsets, share of agreeing words, bytes saved by its wording as dictionary, and
     what words differ. Repeated notices are all reported. No shuffle.
     """
 

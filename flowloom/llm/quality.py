@@ -104,13 +104,13 @@ class Leader:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, shards: int = SHARDS, rounds: int = ROUNDS, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """Weights and bias from the rows of labels with crc32(doc_id) mod 3 other than 1 and quality 0 or 1.
 
-    Conflicting labels of one id count as 1 if any is 1. Without usable labels all weights are 0, so that every score
+    Conflicting labels of one id count as 1 if any is 1; of several texts of one id the least is learned from. Without usable labels all weights are 0, so that every score
     is 0.5. The rows are bounded by max_train, and so are the models that reach the driver: one for each shard.
     """
     spark = docs.sparkSession
     usable = labels.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_train)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "order", "label").agg(F.min("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(buckets)

@@ -8,14 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.bpe import default_vocabulary, vocabulary
+from flowloom.llm.bpe import LONG, default_vocabulary, vocabulary
 from flowloom.llm.common import TwoAgeCache, read, text_or_empty
 
 _WORDS = 20_000  # pre-tokens that are merged together
 
 
 def _count_new(vocab, words: list[str], into: dict) -> None:
-    """Count the tokens of words not seen before, many in one ragged array."""
+    """Count the tokens of words not seen before, many in one ragged array. Runs of over LONG symbols are merged in leaves
+    that are joined, so that rounds of merging don't grow with them."""
+    for w in [w for w in words if len(w) > LONG // 4]:
+        if len(s := vocab.symbols(w)) > LONG:
+            into[w] = len(vocab.encode_by_tree(s))
+    words = [w for w in words if w not in into]
     for lo in range(0, len(words), _WORDS):
         part = words[lo : lo + _WORDS]
         _, counts = vocab.merge_ragged(*vocab.ragged(part))

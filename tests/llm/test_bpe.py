@@ -23,8 +23,8 @@ def _texts():
 def test_encoder_and_counts_equal_the_library():
     texts = _texts()
     want = LIB.encode_batch(texts, add_special_tokens=False)
-    for leaf in (16, 256):
-        enc = Encoder(default_vocabulary(), leaf)
+    for leaf, long in ((16, 16), (7, 1000), (1024, 256)):
+        enc = Encoder(default_vocabulary(), leaf, long)
         got = enc.encode(texts)
         assert got == [w.ids for w in want]
         assert [enc.decode(g) for g in got] == [LIB.decode(w.ids, skip_special_tokens=False) for w in want]
@@ -64,8 +64,55 @@ def test_operators_on_odd_rows(spark):
     assert digest_round_trip(df.limit(0)).count() == 0 and count_tokens(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_bpe_codec", "op10_token_counts"])
-def test_queries_run(spark, sf, name):
-    from flowloom.llm.queries import queries
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab'sI \n1é\u0301中.\u0130<|endofxt>", min_size=0, max_size=300), st.integers(1, 30))
+def test_leaves_join_to_the_whole(text, leaf):
+    assert Encoder(default_vocabulary(), leaf).encode([text])[0] == LIB.encode(text, add_special_tokens=False).ids
 
-    assert queries()[name](spark, sf).count() == 200
+
+def test_queries_equal_the_library(spark):
+    """Every row of op1 and op10, and that texts do go through joins."""
+    from flowloom.llm.bpe_codec import op1_bpe_codec
+    from flowloom.llm.token_count import op10_token_counts
+
+    d = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [w.ids for w in LIB.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    want = {i: (len(n), sha(" ".join(map(str, n))), sha(LIB.decode(n, skip_special_tokens=False))) for (i, _), n in zip(rows, ids)}
+    got = op1_bpe_codec(spark, d).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(rows)
+    counted = op10_token_counts(spark, d).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in counted} == {i: (len(t.encode()), want[i][0], want[i][0] > 2048) for i, t in rows}
+    enc = Encoder(default_vocabulary())
+    enc.encode([t for _, t in rows])
+    assert enc.joins > len(rows)
+
+
+@pytest.mark.parametrize("kind", ["letters", "cjk", "base64", "same"])
+def test_long_runs_take_linear_time(kind):
+    import base64
+    import time
+
+    rnd, n = random.Random(5), 300_000
+    text = {"letters": lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "cjk": lambda: "".join(map(chr, rnd.choices(range(0x4E00, 0x5E00), k=n // 3))), "base64": lambda: base64.b64encode(rnd.randbytes(n // 4 * 3)).decode(), "same": lambda: "a" * n}[kind]()
+    want, start = LIB.encode(text, add_special_tokens=False).ids, time.process_time()
+    assert count_texts([text], default_vocabulary()) == [len(want)]
+    assert Encoder(default_vocabulary()).encode([text])[0] == want
+    assert time.process_time() - start < 20
+
+
+def test_special_tokens_without_angle_brackets(tmp_path):
+    import json
+
+    spec = json.load(open(default_vocabulary(), encoding="utf-8"))
+    spec["added_tokens"].append({"id": 49408, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = str(tmp_path / "v.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    text = "one[SEP]two [SEP] [sep]" + " more words" * 300
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert 49408 in ids and Encoder(path).encode([text])[0] == ids and count_texts([text], path) == [len(ids)]
+    spec["added_tokens"][-1]["lstrip"] = True
+    json.dump(spec, open(path := str(tmp_path / "w.json"), "w", encoding="utf-8"))
+    with pytest.raises(ValueError, match="added tokens"):
+        Encoder(path)

@@ -24,8 +24,8 @@ def test_report_equals_brute_force(spark):
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     named = [("" if i is None else str(i), t) for i, t in items]
     want = sorted((str(r[0]), *brute_force(r[1], named)) for r in docs)
-    for block in (10**6, 200):  # one automaton, several automata
-        got = contamination_report(d, b, block_bytes=block).collect()
+    for block in (10**6, 40):  # one automaton, several automata
+        got = contamination_report(d, b, block_words=block).collect()
         assert sorted((str(r[0]), *r[1:6]) for r in got) == want
 
 
@@ -41,8 +41,8 @@ def test_drop_keeps_columns_and_clean_rows(spark):
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     named = [("" if i is None else str(i), t) for i, t in items]
     want = sorted((r for r in docs if not brute_force(r[1], named)[-1]), key=str)
-    for block in (10**6, 200):
-        kept = drop_contaminated(d, b, block_bytes=block)
+    for block in (10**6, 40):
+        kept = drop_contaminated(d, b, block_words=block)
         assert kept.columns == d.columns and sorted(map(tuple, kept.collect()), key=str) == want
 
 
@@ -51,3 +51,29 @@ def test_empty_tables(spark):
     assert contamination_report(d, b).count() == 0
     one = spark.createDataFrame([(1, "a b", "", 0, 0)], DOCS)
     assert contamination_report(one, b).first().n_hit == 0 and drop_contaminated(one, b).count() == 1
+
+
+def test_long_items_are_cut_into_parts(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randint(0, 300)}" for _ in range(900)]
+    items = [(1, " ".join(words)), (2, "w1 w2")]
+    docs = [(k, " ".join(words[a : a + n])) for k, (a, n) in enumerate([(0, 13), (5, 12), (90, 40), (880, 20), (0, 900), (95, 13)])] + [(9, "w1 w2 w3")]
+    got = contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=100).collect()
+    assert sorted((r.doc_id, *r[1:6]) for r in got) == sorted((i, *brute_force(t, [(str(a), b) for a, b in items])) for i, t in docs)
+
+
+def test_memory_of_an_automaton_is_bounded():
+    """A block of BLOCK_WORDS words that share no window, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from flowloom.llm.decontaminate import BLOCK_WORDS, WindowAutomaton
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rnd = random.Random(1)
+WindowAutomaton([(str(i), " ".join(f"w{rnd.randint(0, 30000)}" for _ in range(BLOCK_WORDS // 300))) for i in range(300)], 13)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert kb < 300_000

@@ -59,3 +59,33 @@ def test_empty_and_components(spark):
     edges = list(zip(chain[:-1], chain[1:])) + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(200)}, 1000: 1000, 1001: 1000}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs with similarities from 0.80 to 0.85 are linked, at the default options; those a little below are not."""
+    import random
+
+    rnd = random.Random(4)
+    rows, near, below = [], 0, 0
+    for k in range(400):
+        words = [f"w{k}x{i}" for i in range(rnd.randint(120, 400))]
+        # a cut of s words at the end leaves n - 4 - s of n - 4 shingles
+        n = len(words) - 4
+        share = rnd.uniform(0.80, 0.85) if k % 4 else rnd.uniform(0.70, 0.79)
+        keep = -(-int(share * n * 10**6) // 10**6) if k % 4 == 0 else min(n, int(share * n) + 1)
+        near, below = near + (k % 4 > 0), below + (k % 4 == 0)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: keep + 4]))]
+    got = {r.doc_id: r.class_id for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(400)]
+    assert sum(x for k, x in enumerate(linked) if k % 4) >= 0.9 * near
+    assert not any(x for k, x in enumerate(linked) if k % 4 == 0)
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    from flowloom.llm.jaccard_join import keep_one_of_each
+
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, 99, 7), (2, text, 98, 6)], "doc_id long, text string, _doc int, _row int")
+    assert [tuple(r) for r in keep_one_of_each(df).collect()] == [(1, text, 99, 7)]
+    twice = spark.createDataFrame([(1, text, 99, 7), (1, text, 99, 7)], df.schema)
+    assert [tuple(r) for r in keep_one_of_each(twice).collect()] == [(1, text, 99, 7)]

@@ -62,3 +62,56 @@ def test_query_and_odd_rows(spark):
     assert sum(map(bool, got.values())) == sum(map(bool, want.values()))
     odd = spark.createDataFrame([(1, None, None, None), (None, "", "", 0), (1, "License", "", 0)], DOC)
     assert [r.notices for r in scan_licenses(odd).collect()] == [[], [], []] and scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_long_wordings():
+    """Wordings of 600 and 6,000 words, and short notices beside them, are found in long texts."""
+    import random
+
+    rnd = random.Random(2)
+    body = lambda n: " ".join(["license"] + [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 400)}" for _ in range(n - 1)])
+    mid, long = body(600), body(6000)
+    from flowloom.llm.license_scan import Scanner
+
+    scanner = Scanner([("Mid", mid), ("Long", long), ("Short", "licensed under the short license")])
+    plain = " ".join(f"x{k % 17}" for k in range(400))
+    changed = long.split(" ")
+    changed[3000:3010] = ["other"] * 10
+    _, found = scanner.scan(f"{plain} {mid} {plain} Licensed under the Short License. {plain} {' '.join(changed)} {plain}")
+    assert [n["license"] for n in found] == ["Mid", "Short", "Long"] and found[2]["similarity"] > 0.99
+
+
+def _common(a, b):
+    """Longest common subsequence of words."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = before[j - 1] + 1 if x == y else max(before[j], row[j - 1])
+    return row[-1]
+
+
+def test_every_wording_against_edit_distance():
+    """Each long wording with words changed here and there: found if and only if 90 % of its words agree in order, by an
+    alignment of its own."""
+    import random
+    import re
+
+    from flowloom.llm.license_scan import AGREE, SHORT, Scanner
+    from flowloom.llm.license_templates import TEMPLATES
+
+    rnd, scanner = random.Random(6), Scanner()
+    around = " ".join(f"plain{chr(97 + k % 26)}" for k in range(60))
+    for name, text in TEMPLATES:
+        words = re.findall(r"\w+", text)
+        if len(words) < SHORT:
+            assert name in [n["license"] for n in scanner.scan(f"{around} {text} {around}")[1]]
+            continue
+        for share in (0.0, 0.03, 0.06, 0.16, 0.3):
+            changed = [f"zz{i}" if rnd.random() < share else w for i, w in enumerate(words)]
+            agree = _common([w.lower() for w in words], [w.lower() for w in changed]) / len(words)
+            found = [n["license"] for n in scanner.scan(f"{around} {' '.join(changed)} {around}")[1]]
+            if agree >= AGREE + 0.01:
+                assert name in found, (name, agree)
+            elif agree < AGREE - 0.01:
+                assert name not in found, (name, agree)

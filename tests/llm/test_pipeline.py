@@ -31,7 +31,7 @@ def test_stages_one_by_one(spark, tmp_path):
     assert len(after) == len(before) and all(r.n_chars == len(r.text) for r in after)
     for r in after:
         gone = [x for x in old[r.doc_id].split("\n") if x not in r.text.split("\n")]
-        assert all(parse(x, 3, 5) for x in gone)
+        assert all(parse(x, 3) for x in gone)
 
     before, after = steps["near_duplicates"]
     assert sorted(r.doc_id for r in after) == sorted(i for i, c, _ in linked([(r.doc_id, r.text) for r in before]) if i == c)
@@ -58,10 +58,10 @@ def test_shared_passages_go_from_all_but_true_copies(spark):
     got = {r.doc_id: r.text for r in cut.collect()}
     whole = {i: "\n".join(texts[i]) for i in (1, 2, 4, 6)}
     assert got == whole | {3: "\n".join(own), 5: "", 7: "\n".join(more), 8: ""}
-    # Brute force: what near-duplicate removal leaves holds each line of 5 or more tokens once.
+    # Brute force: what near-duplicate removal leaves holds each line once.
     rows = [(i, t) for i, t in got.items()]
     kept = [i for i, c, _ in linked(rows) if i == c or not got[i]]
     assert kept == [1, 2, 3, 5, 7, 8]
-    left = [x for i in kept for x in got[i].split("\n") if parse(x, 3, 5)]
+    left = [x for i in kept for x in got[i].split("\n") if parse(x, 3)]
     assert len(left) == len(set(left)) == len(a + b + own + more)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, cut, SF).collect()) == kept
