@@ -22,8 +22,8 @@ from flowloom.llm.common import read, text_or_empty
 from flowloom.llm.license_templates import TEMPLATES
 
 #: Only texts that hold one of these are cut into words at all.
-_CUE = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|spdx|public domain", re.I)
-_CUE_WORD = re.compile(r"licen[sc]\w*|copyright\w*|permission\w*|permit\w*|redistribut\w*|warrant\w*|spdx|domain|liab\w+|software", re.I)
+_CUE = re.compile(r"licen[sc]|copyright|mozilla|\bmpl\b|permission|redistribut|warrant|spdx|public domain", re.I)
+_CUE_WORD = re.compile(r"licen[sc]\w*|mozilla|mpl|copyright\w*|permission\w*|permit\w*|redistribut\w*|warrant\w*|spdx|domain|liab\w+|software", re.I)
 _WORD = re.compile(r"\w+")
 _GAP, _PAD, _CHUNK = 40, 40, 1200
 #: Wordings of fewer words must agree in all of them; longer ones in this share.
