@@ -65,3 +65,11 @@ def test_shared_passages_go_from_all_but_true_copies(spark):
     left = [x for i in kept for x in got[i].split("\n") if parse(x, 3)]
     assert len(left) == len(set(left)) == len(a + b + own + more)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, cut, SF).collect()) == kept
+
+
+def test_clashing_names_and_nulls(spark):
+    line = "the same passage of many words stands in every one of these documents today"
+    rows = [(1, f"{line}\nalpha opens here", 5, "a", 0.5), (2, f"{line}\nbeta goes on there", None, None, 0.25), (3, None, 0, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_whole` int, rest string, `_lost` double")
+    got = sorted(map(tuple, corpus_pipeline.line_dedup(spark, docs, SF).collect()))
+    assert got == [rows[0], (2, "beta goes on there", None, None, 0.25), rows[2]]
