@@ -35,18 +35,22 @@ def _cut_or_removed(docs: DataFrame) -> DataFrame:
     """docs without recurring lines. Documents that lose more than COPY_SHARE are linked, whole, with all others as cut. In
     classes whose first document isn't one of them they stay whole, as near_duplicates removes them; all others are cut.
     That leaves each such class as it was linked, so it is removed as foreseen. If doc_ids repeat, all are cut."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])  # no name can clash
+    whole, docs = docs, docs.select("doc_id", "text", rest.alias("rest"))
+    out = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.r{others.index(c)}").alias(c) for c in whole.columns]
     marked = F.col("_lost") > COPY_SHARE
     cut = drop_recurring_lines(docs.withColumn("_whole", F.col("text")), lost=True)
     cut = settle(cut.withColumn("_whole", F.when(marked, F.col("_whole"))))
     suspects = cut.where(marked).select("doc_id")
     if suspects.isEmpty() or not docs.groupBy(F.col("doc_id").cast("bigint")).count().where("count > 1").isEmpty():
-        return cut.select(*docs.columns)
+        return cut.select(*out)
     linked = link_documents(cut.select("doc_id", F.when(marked, F.col("_whole")).otherwise(F.col("text")).alias("text")))
     gone = linked.where("n_shingles > 0 and not doc_id <=> class_id").select(F.col("doc_id").alias("_copy"), F.col("class_id").alias("_class"))
     heads = suspects.withColumnRenamed("doc_id", "_head")
     gone = gone.join(heads, F.col("_class").eqNullSafe(F.col("_head")), "left_anti").select("_copy", F.lit(True).alias("_gone"))
     text = F.when(F.col("_gone") & marked, F.col("_whole")).otherwise(F.col("text"))
-    return cut.join(gone, F.col("doc_id") == F.col("_copy"), "left").withColumn("text", text).select(*docs.columns)
+    return cut.join(gone, F.col("doc_id") == F.col("_copy"), "left").withColumn("text", text).select(*out)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
