@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import settle
+from flowloom.llm.common import join_spread, settle
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to the smallest node around it."""
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node's larger neighbours are tied to the smallest node around it. Hubs, which have a thousandth or more of the
+    `total` edges, at most 2000 of them, don't gather theirs in one task."""
     near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+    tied = join_spread(near.where("b > a"), least, "a", 1000 * F.col("degree") >= total)
+    return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         before = mark
         if mark[0] == 0:
             break
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now, mark[0])))
     else:
         raise RuntimeError(f"the components have not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
