@@ -287,7 +287,7 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         edges = edges.unionByName(e)
     near = components(edges)
     sizes = near.groupBy("root").agg(F.count("*").alias("m"))
-    member = near.join(sizes, "root").select(F.col("node").alias("sig"), F.col("root").alias("comp"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    member = join_spread(near, sizes, "root", 1000 * F.col("m") >= near.count()).select(F.col("node").alias("sig"), F.col("root").alias("comp"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     member = settle(member.join(reps.select("sig", "rep", "copies"), "sig").select("sig", "comp", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("doc"), "copies"))
     small = member.count() <= max_sent
     held = member.select("doc").distinct()  # only these texts are cut into shingles once more
@@ -296,9 +296,9 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     linked = settle(_verify(cells, similarity))
     links = linked.groupBy("sig").agg(F.sum("links").alias("links"))
     classes = components(linked.where("sig != root").select(F.col("sig").alias("a"), F.col("root").alias("b")))
-    named = classes.join(reps.select(F.col("sig").alias("node"), "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("class"))
-    of_sig = named.join(least, "root").select(F.col("node").alias("sig"), "class")
+    named = settle(classes.join(reps.select(F.col("sig").alias("node"), "rep"), "node"))
+    least = named.groupBy("root").agg(F.min("rep").alias("class"), F.count("*").alias("m"))
+    of_sig = join_spread(named, least, "root", 1000 * F.col("m") >= named.count()).select(F.col("node").alias("sig"), "class")
     known = reps.select("sig", "rep", "copies").join(links, "sig", "left").join(of_sig, "sig", "left")
     known = known.select("sig", "copies", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     kind = docs.schema["doc_id"].dataType
