@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.bpe_codec import encode_documents
-from flowloom.llm.common import read, settle, shared_folder
+from flowloom.llm.common import join_spread, read, settle, shared_folder
 from flowloom.llm.decontaminate import drop_contaminated
 from flowloom.llm.jaccard_join import keep_one_of_each, link_documents
 from flowloom.llm.line_dedup import drop_recurring_lines
@@ -46,9 +46,10 @@ def _cut_or_removed(docs: DataFrame) -> DataFrame:
     if suspects.isEmpty() or not docs.groupBy(F.col("doc_id").cast("bigint")).count().where("count > 1").isEmpty():
         return cut.select(*out)
     linked = link_documents(cut.select("doc_id", F.when(marked, F.col("_whole")).otherwise(F.col("text")).alias("text")))
-    gone = linked.where("n_shingles > 0 and not doc_id <=> class_id").select(F.col("doc_id").alias("_copy"), F.col("class_id").alias("_class"))
-    heads = suspects.withColumnRenamed("doc_id", "_head")
-    gone = gone.join(heads, F.col("_class").eqNullSafe(F.col("_head")), "left_anti").select("_copy", F.lit(True).alias("_gone"))
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    gone = settle(linked.where("n_shingles > 0 and not doc_id <=> class_id").select(F.col("doc_id").alias("_copy"), key("class_id").alias("_class")))
+    kept = gone.groupBy("_class").agg(F.count("*").alias("_n")).join(suspects.select(key("doc_id").alias("_class")), "_class", "left_anti")
+    gone = join_spread(gone, kept, "_class", 1000 * F.col("_n") >= gone.count()).select("_copy", F.lit(True).alias("_gone"))
     text = F.when(F.col("_gone") & marked, F.col("_whole")).otherwise(F.col("text"))
     return cut.join(gone, F.col("doc_id") == F.col("_copy"), "left").withColumn("text", text).select(*out)
 
