@@ -6,6 +6,7 @@ Events are reduced to histograms or to sums at the nodes of a grid where they li
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import NAN, finite, scaled
-from flowloom.operators.stats import doane_bins, doane_width, percentile_width
+from flowloom.operators.stats import doane_bins, doane_width, exact_quantiles, percentile_widths
 
 MAX_NODES = 250_000
 #: Features that only grow; densities of two of them are refused.
@@ -159,10 +160,10 @@ def raster(df: DataFrame, x: str, y: str, kind: str = "histogram", accuracy: tup
     """Density on a regular grid over the events' ranges (KDE-05); without events, 2 x 2 nodes of NaN."""
     check_features(x, y)
     p = _both_finite(df, x, y, scale)
-    r = p.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), percentile_width("x"), percentile_width("y")).first()
+    r = p.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not r.n:
         return Raster(np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.full((2, 2), np.nan))
-    ax, ay = accuracy[0] or r[5], accuracy[1] or r[6]
+    ax, ay = accuracy if all(accuracy) else (a or w for a, w in zip(accuracy, percentile_widths(p, ["x", "y"])))
     xs = np.linspace(r[1], r[2], max(2, math.ceil((r[2] - r[1]) / ax)))
     ys = np.linspace(r[3], r[4], max(2, math.ceil((r[4] - r[3]) / ay)))
     if len(xs) * len(ys) > MAX_NODES:
@@ -195,7 +196,7 @@ def density_at_events(df: DataFrame, x: str, y: str, r: Raster, name: str = "den
 def quantile_levels(df: DataFrame, x: str, y: str, r: Raster, qs: Sequence[float], scale=("linear", "linear")) -> list[float]:
     """Densities below which a share q of the events lies (AGG-12); events outside the raster count as 0."""
     seen = density_at_events(df, x, y, r, outside=0.0, scale=scale).where(finite(x) & finite(y))
-    return list(seen.agg(F.percentile("density", F.array(*map(F.lit, qs)))).first()[0])
+    return exact_quantiles(seen, "density", qs)
 
 
 def contours(r: Raster, level: float, closed: bool = True) -> list[np.ndarray]:
@@ -270,16 +271,22 @@ def opening_angles(line: np.ndarray) -> np.ndarray:
 
 
 def smooth_spacing(df: DataFrame, x: str, y: str, quantile: float, max_angle: float = 23.0, max_vertices: int = 100, tries: int = 15, scale=("linear", "linear")) -> tuple[float, float]:
-    """Grid spacing fine enough for smooth contours (KDE-10): halved until lines turn little or have many vertices, or
-    the next raster would have more than MAX_NODES nodes."""
-    r = _both_finite(df, x, y, scale).agg(percentile_width("x"), percentile_width("y"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    if r[2] is None:
+    """Grid spacing fine enough for smooth contours (KDE-10): halved until lines turn little or have many vertices. If the next
+    raster would have more than MAX_NODES nodes, the finest possible spacing is given with a warning.
+
+    The events are read for their ranges and their histogram once; each try then only places them on its raster."""
+    p = _both_finite(df, x, y, scale)
+    r = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if r.x0 is None:
         raise ValueError("there are no events with finite coordinates")
-    ax, ay = float(r[0]), float(r[1])
+    ax, ay = percentile_widths(p, ["x", "y"])
+    at = histogram_density(df, x, y, scale)
     for _ in range(tries):
-        if max(2, math.ceil(r[2] / ax)) * max(2, math.ceil(r[3] / ay)) > MAX_NODES:
+        nx, ny = max(2, math.ceil((r.x1 - r.x0) / ax)), max(2, math.ceil((r.y1 - r.y0) / ay))
+        if nx * ny > MAX_NODES:
+            warnings.warn(f"contours aren't smooth at the finest spacing, of {MAX_NODES} nodes", SpacingWarning, stacklevel=2)
             return 2 * ax, 2 * ay
-        lines = contour_lines(df, x, y, [quantile], accuracy=(ax, ay), scale=scale)[0]
+        lines = _lines_at(p, at, np.linspace(r.x0, r.x1, nx), np.linspace(r.y0, r.y1, ny), quantile)
         if lines:
             longest = max(lines, key=len)
             span = np.ptp(longest, axis=0)
@@ -287,3 +294,17 @@ def smooth_spacing(df: DataFrame, x: str, y: str, quantile: float, max_angle: fl
                 break
         ax, ay = ax / 2, ay / 2
     return ax, ay
+
+
+class SpacingWarning(UserWarning):
+    """A contour is coarser than was asked for."""
+
+
+def _lines_at(p: DataFrame, at, xs: np.ndarray, ys: np.ndarray, quantile: float) -> list[np.ndarray]:
+    """Lines around the densest 1 - quantile of the events (x, y) on one raster."""
+    gx, gy = np.meshgrid(xs, ys, indexing="ij")
+    r = Raster(xs, ys, at(gx.ravel(), gy.ravel()).reshape(gx.shape))
+    if min(r.z.shape) < 3:
+        return []
+    level, top = quantile_levels(p, "x", "y", r, [quantile])[0], np.nanmax(r.z)
+    return contours(r, level / top) if 0 < level < top else []

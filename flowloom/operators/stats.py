@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import NAN, finite_or_null
+from flowloom.operators import ranks
 
-#: Above so many rows quantiles are selected by narrowing instead of by one aggregate that holds all distinct values.
-EXACT_ROWS = 5_000_000
+#: Above so many rows quantiles are selected rank by rank instead of by aggregates that hold all distinct values.
+EXACT_ROWS = 1 << 20
 
 
 class Quantile:
@@ -64,24 +65,28 @@ def event_counts(gate: Column | None = None) -> list[Column]:
 
 
 def describe(df: DataFrame, features: Sequence[str], methods=METHODS, gate: Column | None = None, by: Sequence[str] = (), exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Long form (by..., feature, method, value) from one pass. Features that df lacks have NaN.
+    """Long form (by..., feature, method, value). Features that df lacks have NaN.
 
-    A feature's quantiles share one aggregate, whose state grows with distinct values. Without groups, more than EXACT_ROWS
-    rows have theirs selected by exact_quantiles first, in passes of bounded state."""
+    Up to exact_rows rows a feature's quantiles share one aggregate, whose state holds its distinct values. Above, the ranks of
+    all groups and features are narrowed together in a few passes of bounded state (`ranks.quantiles`)."""
     have = [f for f in features if f in df.columns]
     table = methods if isinstance(methods, dict) else {m: METHODS[m] for m in methods}
     qs = {m: f for m, f in table.items() if isinstance(f, Quantile)}
     rest = {m: f for m, f in table.items() if m not in qs}
-    wanted = F.array(*[F.lit(f.q) for f in qs.values()]) if qs else None
-    if qs and have and not by and df.count() > exact_rows:
-        found = {f: exact_quantiles(df.select(_gated(gate, F.col(f).cast("double")).alias(f)), f, [q.q for q in qs.values()]) for f in have}
-        sorts = {f: F.array(*map(F.lit, v)) for f, v in found.items()}
-        extra = []
-    else:
-        sorts = {f: F.col(f"`_q {f}`") for f in have}
-        extra = [F.percentile(_gated(gate, finite_or_null(f)), wanted).alias(f"_q {f}") for f in have] if qs else []
+    wanted = [q.q for q in qs.values()]
+    select = bool(qs and have) and df.count() > exact_rows
+    extra = [] if select or not qs else [F.percentile(_gated(gate, finite_or_null(f)), F.array(*map(F.lit, wanted))).alias(f"_q {f}") for f in have]
     grouped = df.groupBy(*by) if by else df.groupBy()
     wide = grouped.agg(F.count("*").alias("_n"), *aggregates(have, rest, gate), *extra)
+    if select:
+        values = df.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("f"), _gated(gate, finite_or_null(f)).alias("x")) for f in have])).alias("v")).select(*by, F.col("v.f").alias("_f"), F.col("v.x").alias("x")).where("x is not null")
+        found = ranks.quantiles(values, [*by, "_f"], wanted, exact_rows).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_f", "q"))).alias("_qs"))
+        hot = wide.withColumnsRenamed({k: f"_w_{k}" for k in by})
+        both = F.lit(True)
+        for k in by:
+            both = both & F.col(f"_w_{k}").eqNullSafe(F.col(k))
+        wide = hot.join(found, both, "left").drop(*by).withColumnsRenamed({f"_w_{k}": k for k in by})
+    sorts = {f: F.try_element_at("_qs", F.lit(f)) if select else F.col(f"`_q {f}`") for f in have}
 
     def cell(f: str, m: str) -> Column:
         if f not in have:
@@ -92,49 +97,26 @@ def describe(df: DataFrame, features: Sequence[str], methods=METHODS, gate: Colu
     return wide.select(*by, F.explode(F.array(*cells)).alias("s")).select(*by, "s.feature", "s.method", "s.value")
 
 
-def exact_quantiles(df: DataFrame, feature: str, qs: Sequence[float], small: int = EXACT_ROWS) -> list[float]:
-    """Linearly interpolated quantiles of any number of rows. Sketches narrow the range around each wanted rank until
-    few enough rows are left for an exact answer; only numbers reach the driver."""
-    x = df.select(finite_or_null(feature).alias("x")).where("x is not null")
-    n = x.count()
-    if not n:
-        return [NAN] * len(qs)
-    if n <= small:
-        return list(x.agg(F.percentile("x", F.array(*map(F.lit, qs))).alias("q")).first().q)
-
-    def at(rank: int) -> float:
-        lo, hi, below, part, rows = None, None, 0, x, n
-        while rows > small:
-            f = (rank - below) / rows
-            a, z = part.agg(F.percentile_approx("x", F.array(F.lit(max(0.0, f - 1e-3)), F.lit(min(1.0, f + 1e-3))), 10_000).alias("q")).first().q
-            counts = part.agg(F.count_if(F.col("x") < a).alias("less"), F.count_if((F.col("x") >= a) & (F.col("x") <= z)).alias("within")).first()
-            if not counts.less <= rank - below < counts.less + counts.within or counts.within == rows:
-                break  # the sketch missed, or there is nothing to narrow: ties
-            lo, hi, below, rows = a, z, below + counts.less, counts.within
-            part = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            if lo == hi:
-                return float(lo)
-        groups = part.groupBy("x").count().orderBy("x")
-        for r in groups.toLocalIterator() if rows <= small else []:
-            if below <= rank < below + r["count"]:
-                return r.x
-            below += r["count"]
-        return part.agg(F.percentile("x", (rank - below) / max(1, rows - 1)).alias("q")).first().q
-
-    out = []
-    for q in qs:
-        place = q * (n - 1)
-        a = at(math.floor(place))
-        b = a if place == math.floor(place) else at(math.floor(place) + 1)
-        out.append(a + (b - a) * (place - math.floor(place)))
-    return out
+def exact_quantiles(df: DataFrame, feature: str, qs: Sequence[float], small: int = EXACT_ROWS, gate: Column | None = None) -> list[float]:
+    """Linearly interpolated quantiles of any number of rows; NaN if none is finite. Only these numbers reach the driver."""
+    x = df.select(_gated(gate, finite_or_null(feature)).alias("x")).where("x is not null")
+    if df.count() <= small:
+        found = x.agg(F.percentile("x", F.array(*map(F.lit, qs))).alias("q")).first().q
+    else:
+        rows = ranks.quantiles(x, [], qs, small).collect()
+        found = rows[0].q if rows else None
+    return [NAN] * len(qs) if found is None else list(found)
 
 
-def mode(df: DataFrame, feature: str, gate: Column | None = None) -> DataFrame:
+def mode(df: DataFrame, feature: str, gate: Column | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Most frequent bin (AGG-05), one row (mode, n): bins of twice the interquartile range over the cube root of n,
     keys rounded half to even, ties to the smallest; NaN if the width is 0 or nothing is left."""
     x = df.select(_gated(gate, finite_or_null(feature)).alias("x")).where("x is not null")
-    s = x.agg(F.count("*").alias("m"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    if df.count() <= exact_rows:
+        s = x.agg(F.count("*").alias("m"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    else:
+        q1, q3 = exact_quantiles(df, feature, [0.25, 0.75], exact_rows, gate)
+        s = x.agg(F.count("*").alias("m"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"))
     width = F.when(F.col("m") > 0, 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("m").cast("double"), F.lit(1 / 3)))
     binned = x.crossJoin(F.broadcast(s.select(width.alias("w")))).select(F.when(F.col("w") != 0, F.rint(F.try_divide("x", "w")) * F.col("w") + F.col("w") / 2).otherwise(F.lit(NAN)).alias("mode"))
     top = binned.groupBy("mode").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("mode")).limit(1)
@@ -164,5 +146,18 @@ def percentile_width(feature: str) -> Column:
     return F.when(core != 0, core).when(spread != 0, spread).otherwise(F.lit(1.0))
 
 
+def percentile_widths(df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS) -> list[float]:
+    """percentile_width of each feature at any size, as numbers; None for one without finite values."""
+    if df.count() <= exact_rows:
+        return list(df.agg(*map(percentile_width, features)).first())
+    r = describe(df, features, {"lo": F.min, "hi": F.max, "p10": Quantile(0.1), "p90": Quantile(0.9)}, exact_rows=exact_rows).collect()
+    v = {(x.feature, x.method): x.value for x in r}
+    out = []
+    for f in features:
+        core, spread = (v[f, "p90"] - v[f, "p10"]) / 23, (v[f, "hi"] - v[f, "lo"]) / 10
+        out.append(None if math.isnan(core) else core or spread or 1.0)
+    return out
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

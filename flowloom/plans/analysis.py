@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.operators import density as D
+from flowloom.operators import kernel_sums as K
 from flowloom.operators import mixed as M
 from flowloom.plans.registry import query, table
 
@@ -93,13 +94,68 @@ def mixed_sums(spark, sf_dir):
     return s.select("group", "repetition", "n", F.round("sum_x", 3).alias("sum_x"), F.round("sum_x2", 2).alias("sum_x2"))
 
 
+def _numbers(spark, fit):
+    return spark.createDataFrame([(k, float(v)) for k, v in fit.items() if k not in ("repetitions", "model")], "name string, value double")
+
+
 @query()
 def lmm_fit(spark, sf_dir):
-    fit = M.compare(_groups(spark, sf_dir), "x")
-    return spark.createDataFrame([(k, float(v)) for k, v in fit.items()], "name string, value double")
+    return _numbers(spark, M.compare(_groups(spark, sf_dir), "x"))
+
+
+@query()
+def gamma_fit(spark, sf_dir):
+    """The log-link Gamma model of the same groups."""
+    return _numbers(spark, M.compare(_groups(spark, sf_dir), "x", model="glmer+loglink"))
+
+
+# A balanced design with effects of each repetition, for which the linear model has a closed form: fixed effects are means of cell
+# means, and twice the log likelihood ratio is K ln(1 + K m^2 / ((K - 1) v)) for mean m and variance v of K differences.
+_BALANCED = "SELECT (o_orderkey % 2)::INTEGER AS g, ((o_orderkey // 2) % 5)::INTEGER AS k, o_totalprice / 1000 + 300 * ((o_orderkey // 2) % 5) + (o_orderkey % 2) * (50 + 120 * ((o_orderkey // 2) % 5 % 3)) AS x FROM orders WHERE o_orderkey < (SELECT count(*) // 10 * 10 FROM orders)"
+
+
+@query(
+    f"""WITH c AS (SELECT g, k, avg(x) AS m FROM ({_BALANCED}) GROUP BY g, k), d AS (SELECT k, max(CASE WHEN g = 0 THEN m END) AS a, max(CASE WHEN g = 1 THEN m END) AS b FROM c GROUP BY k),
+r AS (SELECT avg(a) AS intercept, avg(b - a) AS treatment, count(*) AS n, var_samp(b - a) AS v FROM d)
+SELECT round(intercept, 4) AS intercept, round(treatment, 4) AS treatment, round(n * ln(1 + n * treatment * treatment / v / (n - 1)), 3) AS chi_square FROM r"""
+)
+def lmm_balanced(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k, g = F.floor(F.col("o_orderkey") / 2), F.col("o_orderkey") % 2
+    x = F.col("o_totalprice") / 1000 + 300 * (k % 5) + g * (50 + 120 * (k % 5 % 3))
+    whole = o.where(F.col("o_orderkey") < o.count() // 10 * 10)
+    fit = M.compare(whole.select(F.when(g == 1, "treatment").otherwise("control").alias("group"), (k % 5).cast("int").alias("repetition"), x.alias("x")), "x")
+    return spark.createDataFrame([(round(float(fit["intercept"]), 4), round(float(fit["treatment"]), 4), round(float(fit["chi_square"]), 3))], "intercept double, treatment double, chi_square double")
 
 
 @query()
 def bootstrap_medians(spark, sf_dir):
     o = _groups(spark, sf_dir).withColumn("region", F.when(F.rint("x") % 2 == 0, "channel").otherwise("reservoir"))
     return M.differential(o, "x")
+
+
+def _full_sums_sql(widths: str, form: str) -> str:
+    """The sum over all orders at each order, every pair computed."""
+    return f"""WITH p AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x, o_custkey::DOUBLE AS y FROM orders), w AS ({widths})
+SELECT a.k AS o_orderkey, round(sum(exp(-0.5 * ({form}))) / any_value(n * 2 * pi() * sqrt(det)) * 1e9, 3) AS density FROM p a, p b, w GROUP BY a.k"""
+
+
+def _orders_xy(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("x"), F.col("o_custkey").cast("double").alias("y"))
+
+
+@query(
+    _full_sums_sql(
+        "SELECT n, a, b, d, a * d - b * b AS det FROM (SELECT count(*)::DOUBLE AS n, var_samp(x) * pow(count(*), -1.0/3) AS a, covar_samp(x, y) * pow(count(*), -1.0/3) AS b, var_samp(y) * pow(count(*), -1.0/3) AS d FROM p)",
+        "(d * pow(a.x - b.x, 2) - 2 * w.b * (a.x - b.x) * (a.y - b.y) + w.a * pow(a.y - b.y, 2)) / det",
+    )
+)
+def kde_gauss_at_events(spark, sf_dir):
+    """The Gaussian density at every order, from all orders (KDE-06), in units of 1e-9."""
+    return K.density_exact(_orders_xy(spark, sf_dir), "x", "y", "gauss", "o_orderkey").withColumn("density", F.round(F.col("density") * 1e9, 3))
+
+
+@query(_full_sums_sql("SELECT count(*)::DOUBLE AS n, 400.0 AS a, 0.0 AS b, 2500.0 AS d, 1000000.0 AS det FROM p", "pow(a.x - b.x, 2) / w.a + pow(a.y - b.y, 2) / d"))
+def kde_multivariate_at_events(spark, sf_dir):
+    """A product of kernels of given widths at every order."""
+    return K.density_exact(_orders_xy(spark, sf_dir), "x", "y", "multivariate", "o_orderkey", bandwidth=(20.0, 50.0)).withColumn("density", F.round(F.col("density") * 1e9, 3))

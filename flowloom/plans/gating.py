@@ -58,9 +58,15 @@ def polygon_gate_inverted(spark, sf_dir):
     return _totals(table(spark, sf_dir, "lineitem").where(G.Polygon("l_quantity", "l_discount", POLYGON, inverted=True).condition()))
 
 
-@query("SELECT r::INTEGER AS r, c::INTEGER AS c, (" + _edges("c", "r", ((1.0, 1.0), (8.0, 2.0), (6.0, 9.0), (2.0, 7.0))) + ") AS inside FROM (SELECT unnest(range(12)) AS r) a, (SELECT unnest(range(10)) AS c) b")
+_CELLS_OF = ((1.0, 1.0), (8.0, 2.0), (6.0, 9.0), (2.0, 7.0))
+
+
+@query(f"SELECT l_linenumber AS r, floor(l_quantity / 5)::INTEGER AS c, count(*) AS n, any_value({_edges('c0', 'r0', _CELLS_OF)}) AS inside FROM (SELECT *, l_linenumber::DOUBLE AS r0, floor(l_quantity / 5) AS c0 FROM lineitem) GROUP BY l_linenumber, floor(l_quantity / 5)")
 def grid_mask(spark, sf_dir):
-    return G.grid_in_polygon(spark, (12, 10), [(1, 1), (2, 8), (9, 6), (7, 2)])
+    """Events counted by the cells of a raster, with the raster's polygon mask."""
+    mask = G.grid_in_polygon(spark, (12, 12), [(y, x) for x, y in _CELLS_OF])
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("r"), F.floor(F.col("l_quantity") / 5).cast("int").alias("c")).agg(F.count("*").alias("n"))
+    return cells.join(F.broadcast(mask), ["r", "c"])  # 144 cells
 
 
 _ODD = "CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE WHEN l_linenumber = 5 THEN 'Infinity'::DOUBLE ELSE l_quantity END"
@@ -125,6 +131,13 @@ def stats_grouped(spark, sf_dir):
     return stats.describe(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_tax"], by=["l_returnflag"]).withColumn("value", F.round("value", 5))
 
 
+@query(_stats_sql(["l_extendedprice", "l_tax", "l_quantity"], "lineitem", "l_returnflag, l_linestatus"))
+def stats_selected(spark, sf_dir):
+    """The same statistics with all quantiles of all groups and features found by narrowing, as above EXACT_ROWS rows."""
+    out = stats.describe(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_tax", "l_quantity"], by=["l_returnflag", "l_linestatus"], exact_rows=1000)
+    return out.withColumn("value", F.round("value", 5))
+
+
 @query("WITH s AS (SELECT 2 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / pow(count(value), 1.0/3) AS w FROM events), b AS (SELECT round_even(value / w, 0) * w + w / 2 AS mode, count(*) AS n FROM events, s GROUP BY 1) SELECT round(mode, 5) AS mode, n FROM b ORDER BY n DESC, b.mode LIMIT 1")
 def stats_mode(spark, sf_dir):
     return stats.mode(table(spark, sf_dir, "events"), "value").select(F.round("mode", 5).alias("mode"), "n")

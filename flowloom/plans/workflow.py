@@ -89,7 +89,14 @@ def json_properties(spark, sf_dir):
     return basins.definitions(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text").select("event_id", "name", "mapping", "features")
 
 
-@query("SELECT 'Area' AS label, 'area_um' AS feature UNION ALL SELECT 'Deformation', 'deform' UNION ALL SELECT 'ML score ABC', 'ml_score_abc'")
+# Names and labels of features, as the catalogue has them.
+_LABELS = {"area_um": "Area", "deform": "Deformation", "bright_avg": "Brightness average", "ml_score_abc": "ML score ABC"}
+
+
+@query(f"SELECT event_id, m[(event_id % 4)::INTEGER + 1].f AS feature, m[(event_id % 4)::INTEGER + 1].l AS label FROM events, (SELECT [{', '.join(f'{{f: $${f}$$, l: $${v}$$}}' for f, v in _LABELS.items())}] AS m)")
 def feature_labels(spark, sf_dir):
+    """Rows that name features, with the features' labels."""
     c = Catalog()
-    return spark.createDataFrame([(c.label(f, unit=False), f) for f in ("area_um", "deform", "ml_score_abc")], "label string, feature string")
+    names = spark.createDataFrame([(i, f, c.label(f, unit=False)) for i, f in enumerate(_LABELS)], "i long, feature string, label string")
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("i"))
+    return e.join(F.broadcast(names), "i").select("event_id", "feature", "label")  # four rows
