@@ -1,4 +1,4 @@
-"""Stiffness from look-up tables (SCL-10, JOIN-10, ISO-01 to ISO-04, SRC-28 to SRC-30).
+"""Stiffness from look-up tables (SCL-10, SCL-11, JOIN-10, ISO-01 to ISO-04, SRC-28 to SRC-30).
 
 The table's points are triangulated once on the driver (they are bounded: tables above MAX_POINTS are refused). Events
 and table are put on one scale, so that the triangulation does not depend on channel, flow or viscosity; each event's
@@ -8,6 +8,7 @@ triangle is found by a grid over the triangles, in vectorised batches.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -173,8 +174,63 @@ def normalised(lut: Lut) -> tuple[np.ndarray, np.ndarray, float, float]:
     return lut.points[:, :2] / [top_x, top_d], lut.points[:, 2], float(top_x), float(top_d)
 
 
-def emodulus(lut: Lut, x: Column | str, deform: Column | str, channel_width: float, flow_rate: float, viscosity: Column | float, pixel_um: float = 0.34) -> Column:
-    """Young's modulus in kPa of events; NaN outside the table. Pixelation is taken off first if pixel_um isn't 0."""
+class ExtrapolationWarning(UserWarning):
+    """Values beyond the table were asked for, and may mean nothing."""
+
+
+#: Deformations up to this are never extrapolated: the table is too steep there.
+LEAST_DEFORM = 0.05
+
+
+class SmoothSurface:
+    """A smoothing surface z(x, y): tensor products of cubic B-splines whose coefficients solve penalised normal equations.
+
+    It begins with one polynomial piece; pieces are doubled until the sum of squared residuals is at most `allowed` (the number
+    of points by default), or there are as many as points allow. The penalty on second differences of coefficients only
+    settles those that the points leave open. Beyond the points' ranges the values of the border hold.
+    """
+
+    DEGREE, PENALTY, MOST = 3, 1e-8, 32
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, allowed: float | None = None):
+        self.x0, self.x1, self.y0, self.y1 = x.min(), x.max(), y.min(), y.max()
+        allowed = len(z) if allowed is None else allowed
+        self.pieces = 1
+        while True:
+            a, b = self._basis(x, self.x0, self.x1), self._basis(y, self.y0, self.y1)
+            k = a.shape[1]
+            design = (a[:, :, None] * b[:, None, :]).reshape(len(z), k * k)
+            second = np.diff(np.eye(k), 2, axis=0)
+            rough = np.kron(second.T @ second, np.eye(k)) + np.kron(np.eye(k), second.T @ second)
+            normal = design.T @ design
+            self.coefficients = np.linalg.solve(normal + self.PENALTY * np.trace(normal) / k**2 * (rough + 1e-6 * np.eye(k * k)), design.T @ z)
+            self.residual = float(((design @ self.coefficients - z) ** 2).sum())
+            if self.residual <= allowed or 2 * self.pieces > self.MOST or (2 * self.pieces + self.DEGREE) ** 2 > len(z):
+                break
+            self.pieces *= 2
+
+    def _basis(self, v: np.ndarray, lo: float, hi: float) -> np.ndarray:
+        """Uniform B-splines at v, by de Boor's recursion: a row for each value."""
+        t = (np.clip(v, lo, hi) - lo) / ((hi - lo) or 1.0) * self.pieces
+        knots = np.arange(-self.DEGREE, self.pieces + self.DEGREE + 1.0)
+        place = np.minimum(np.floor(t), self.pieces - 1)
+        out = (place[:, None] == knots[None, :-1]).astype(float)
+        for d in range(1, self.DEGREE + 1):
+            left, right = (t[:, None] - knots[None, : -d - 1]) / d, (knots[None, d + 1 :] - t[:, None]) / d
+            out = left * out[:, :-1] + right * out[:, 1:]
+        return out
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = self._basis(x, self.x0, self.x1), self._basis(y, self.y0, self.y1)
+        k = a.shape[1]
+        return np.einsum("ni,ij,nj->n", a, self.coefficients.reshape(k, k), b)
+
+
+def emodulus(lut: Lut, x: Column | str, deform: Column | str, channel_width: float, flow_rate: float, viscosity: Column | float, pixel_um: float = 0.34, extrapolate: bool = False) -> Column:
+    """Young's modulus in kPa of events; NaN outside the table. Pixelation is taken off first if pixel_um isn't 0.
+
+    With `extrapolate` (SCL-11), events outside whose deformation is above LEAST_DEFORM get the value of a smoothing surface
+    through that part of the table; a warning is given, since that is seldom justified."""
     xy, values, top_x, top_d = normalised(lut)
     interpolate = Interpolator(xy, values)
     size = as_column(x).cast("double")
@@ -183,10 +239,21 @@ def emodulus(lut: Lut, x: Column | str, deform: Column | str, channel_width: flo
         d = d - pixelation_delta(lut.x, "deform", pixel_um, size)
     u = scale_feature(lut.x, size, channel_width, lut.channel_width) / top_x
 
+    surface, least = None, LEAST_DEFORM / top_d
+    if extrapolate:
+        warnings.warn("values beyond a look-up table may mean nothing", ExtrapolationWarning, stacklevel=2)
+        crop = xy[:, 1] > least
+        surface = SmoothSurface(xy[crop, 0], xy[crop, 1], values[crop]) if crop.any() else None
+
     @F.pandas_udf("double")
     def look_up(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series(interpolate(np.column_stack([a.to_numpy(float), b.to_numpy(float)])))
+            at = np.column_stack([a.to_numpy(float), b.to_numpy(float)])
+            found = interpolate(at)
+            if surface is not None:
+                beyond = np.isnan(found) & (at[:, 1] > least) & np.isfinite(at).all(axis=1)
+                found[beyond] = surface(*at[beyond].T)
+            yield pd.Series(found)
 
     base = F.coalesce(look_up(u, d / top_d), F.lit(NAN))  # pandas batches give NaN as null
     return scale_feature("emodulus", base, lut.channel_width, channel_width, lut.flow_rate, flow_rate, lut.fluid_viscosity, viscosity)
