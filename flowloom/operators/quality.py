@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.catalog import Catalog, Metadata
+from flowloom.catalog import Catalog, Metadata, key_type
 from flowloom.functions.numeric import finite_or_null
 
 CUE = "level string, category string, section string, key string, msg string"
@@ -109,11 +109,35 @@ def data_cues(df: DataFrame, meta: Metadata, catalog: Catalog | None = None) ->
     return out + [_cue("violation", "feature unknown", f"{f} isn't a known feature", None, f) for f in unknown]
 
 
-def check(df: DataFrame, meta: Metadata, logs: dict[str, list[str]] | None = None, catalog: Catalog | None = None) -> DataFrame:
+def choice_cues(meta: Metadata, choices: dict[str, dict[str, list]]) -> list[tuple]:
+    """DQ-20: values that aren't among the choices of their keys."""
+    return [_cue("violation", "metadata wrong", f"{k} is {meta.get(s, k)!r}, none of {', '.join(map(str, allowed))}", s, k) for s, keys in choices.items() for k, allowed in keys.items() if meta.get(s, k) is not None and meta.get(s, k) not in allowed]
+
+
+def type_cues(raw: dict[str, dict]) -> list[tuple]:
+    """DQ-21: stored metadata (section -> key -> value) that its converter changes; unknown keys are left to others."""
+    out = []
+    for section, values in raw.items():
+        for key, value in values.items():
+            convert = key_type(section, key)
+            if convert is None:
+                continue
+            try:
+                expected = convert(value)
+            except (TypeError, ValueError):
+                out.append(_cue("alert", "metadata wrong", f"{key} can't be {value!r}", section, key))
+                continue
+            plain = lambda v: [plain(x) for x in v] if isinstance(v, (list, tuple)) else v  # noqa: B023, E731
+            if plain(expected) != plain(value) or isinstance(expected, bool) != isinstance(value, bool):
+                out.append(_cue("alert", "metadata wrong", f"{key} should be {expected!r}, but is {value!r}", section, key))
+    return out
+
+
+def check(df: DataFrame, meta: Metadata, logs: dict[str, list[str]] | None = None, catalog: Catalog | None = None, choices: dict[str, dict[str, list]] | None = None) -> DataFrame:
     """All cues of an ungated measurement as a DataFrame."""
     fluorescent = any(c.startswith("fl") and c.endswith("_max") for c in df.columns)
     rows = [_cue("info", "general", f"fluorescence: {fluorescent}"), _cue("info", "format", "parquet")]
-    rows += metadata_cues(meta, fluorescent) + channel_name_cues(df.columns, meta) + data_cues(df, meta, catalog)
+    rows += metadata_cues(meta, fluorescent) + channel_name_cues(df.columns, meta) + data_cues(df, meta, catalog) + choice_cues(meta, choices or {})
     for name, lines in (logs or {}).items():
         if any(len(x) > MAX_LOG_LINE for x in lines):
             rows.append(_cue("alert", "format", f"log {name} has lines of more than {MAX_LOG_LINE} characters"))

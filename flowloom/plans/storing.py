@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowloom.plans.registry import query, table
+from flowloom.sources.footers import footers
 from flowloom.sources.groups import GroupStore
 from flowloom.sources.scratch import shared_folder
 
@@ -49,3 +50,9 @@ def basin_maps_shared(spark, sf_dir):
     if sorted(store.manifest["maps"]) != ["basinmap0", "basinmap1"]:
         raise AssertionError("two maps were expected")
     return store.frame().with_features("basinmap0", "basinmap1", "tilt").df.select("event_idx", "basinmap0", "basinmap1", "tilt")
+
+
+@query("SELECT feature, sum(n)::BIGINT AS rows FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS feature, 1 AS n FROM events) GROUP BY feature")
+def footer_rows(spark, sf_dir):
+    """Rows of each column by the footers of the events' files."""
+    return footers(table(spark, sf_dir, "events")).groupBy("feature").agg(F.sum("rows").alias("rows"))

@@ -123,7 +123,6 @@ def write_store(frame: EventFrame, path: str, features: Sequence[str] | None = N
 def read_store(spark: SparkSession, path: str, catalog: Catalog | None = None, basins: bool = True, known_defects: Sequence[Defect] = defects.STANDARD) -> EventFrame:
     """A stored measurement without its defective features; basins are opened by their names, which are paths."""
     meta = Metadata(json.loads(_one_text(spark, f"{path}/meta.json") or "{}"))
-    df = defects.hide(spark.read.parquet(f"{path}/events"), meta, known_defects)
     logs: dict[str, list[str]] = {}
     try:
         for r in spark.read.parquet(f"{path}/logs").orderBy("log", "line_no").toLocalIterator():
@@ -131,6 +130,7 @@ def read_store(spark: SparkSession, path: str, catalog: Catalog | None = None, b
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+    df = defects.hide(spark.read.parquet(f"{path}/events"), meta, known_defects, tuple(logs))
     tables = {k: spark.read.parquet(f"{path}/tables/{k}") for k in json.loads(_one_text(spark, f"{path}/tables.json") or "[]")}
     found = []
     for d in json.loads(_one_text(spark, f"{path}/basins.json") or "[]") if basins else []:
