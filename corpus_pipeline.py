@@ -34,22 +34,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _cut_or_removed(docs: DataFrame) -> DataFrame:
     """docs without recurring lines. Documents that lose more than COPY_SHARE are linked, whole, with all others as cut. In
     classes whose first document isn't one of them they stay whole, as near_duplicates removes them; all others are cut.
-    That leaves each such class as it was linked, so it is removed as foreseen. If doc_ids repeat, all are cut."""
+    That leaves each such class as it was linked, so it is removed as foreseen. Documents whose doc_id others have too are
+    always cut, as their copies can't be told apart."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])  # no name can clash
-    whole, docs = docs, docs.select("doc_id", "text", rest.alias("rest"))
-    out = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.r{others.index(c)}").alias(c) for c in whole.columns]
-    marked = F.col("_lost") > COPY_SHARE
+    every, docs = docs, docs.select("doc_id", "text", rest.alias("rest"))
+    out = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.r{others.index(c)}").alias(c) for c in every.columns]
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
     cut = drop_recurring_lines(docs.withColumn("_whole", F.col("text")), lost=True)
-    cut = settle(cut.withColumn("_whole", F.when(marked, F.col("_whole"))))
+    cut = settle(cut.withColumn("_whole", F.when(F.col("_lost") > COPY_SHARE, F.col("_whole"))))
+    repeated = docs.groupBy(key("doc_id").alias("_id")).count().where("count > 1").select("_id", F.lit(True).alias("_again"))
+    if not repeated.isEmpty():
+        cut = settle(cut.join(repeated, key("doc_id") == F.col("_id"), "left").withColumn("_whole", F.when(F.col("_again").isNull(), F.col("_whole"))).drop("_id", "_again"))
+    marked = F.col("_whole").isNotNull()
     suspects = cut.where(marked).select("doc_id")
-    if suspects.isEmpty() or not docs.groupBy(F.col("doc_id").cast("bigint")).count().where("count > 1").isEmpty():
+    if suspects.isEmpty():
         return cut.select(*out)
-    linked = link_documents(cut.select("doc_id", F.when(marked, F.col("_whole")).otherwise(F.col("text")).alias("text")))
-    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    linked = link_documents(cut.select("doc_id", F.coalesce("_whole", "text").alias("text")))
     gone = settle(linked.where("n_shingles > 0 and not doc_id <=> class_id").select(F.col("doc_id").alias("_copy"), key("class_id").alias("_class")))
     kept = gone.groupBy("_class").agg(F.count("*").alias("_n")).join(suspects.select(key("doc_id").alias("_class")), "_class", "left_anti")
-    gone = join_spread(gone, kept, "_class", 1000 * F.col("_n") >= gone.count()).select("_copy", F.lit(True).alias("_gone"))
+    gone = join_spread(gone, kept, "_class", 1000 * F.col("_n") >= gone.count()).select("_copy").distinct().withColumn("_gone", F.lit(True))
     text = F.when(F.col("_gone") & marked, F.col("_whole")).otherwise(F.col("text"))
     return cut.join(gone, F.col("doc_id") == F.col("_copy"), "left").withColumn("text", text).select(*out)
 
