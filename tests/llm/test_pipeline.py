@@ -73,3 +73,17 @@ def test_clashing_names_and_nulls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, `_whole` int, rest string, `_lost` double")
     got = sorted(map(tuple, corpus_pipeline.line_dedup(spark, docs, SF).collect()))
     assert got == [rows[0], (2, "beta goes on there", None, None, 0.25), rows[2]]
+
+
+def test_a_repeated_id_changes_no_other_document(spark, sf):
+    """Documents 1 and 4 are copies and 9 has nothing to do with them, whether it is there once or twice."""
+    lines = [f"line number {i} of the copied document says {w} things about {v}" for i, (w, v) in enumerate(zip("many few odd new old good".split(), "cats dogs birds fish trees stones".split()))]
+    rows = [(1, "\n".join(lines)), (4, "\n".join(lines)), (9, "quite another text\nwith two lines")]
+
+    def cut(table):
+        got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(table, "doc_id long, text string"), sf).collect()
+        return sorted((r.doc_id, r.text) for r in got)
+
+    once, twice = cut(rows), cut([*rows, rows[2]])
+    assert [r for r in twice if r[0] != 9] == [r for r in once if r[0] != 9] == rows[:2]
+    assert [i for i, _ in cut([*rows, rows[1]])] == [1, 4, 4, 9]
