@@ -169,3 +169,34 @@ TEMPLATES = [
         "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
 ]
+
+# Identifiers of the SPDX licence list.
+IDENTIFIERS = [
+    "0BSD", "AFL-3.0", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "APSL-2.0", "Artistic-1.0", "Artistic-2.0",
+    "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0",
+    "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "ECL-2.0",
+    "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+    "GPL-3.0-or-later", "HPND", "ICU", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0",
+    "PHP-3.01", "PostgreSQL", "PSF-2.0", "Python-2.0", "QPL-1.0", "Ruby", "SSPL-1.0", "Unicode-3.0", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL",
+    "X11", "Zlib", "ZPL-2.1",
+]
+# Names by which short notices call licences.
+CALLED = [
+    ("MIT", "MIT"), ("ISC", "ISC"), ("Apache-2.0", "Apache 2.0"), ("Apache-2.0", "Apache License 2.0"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-2-Clause", "BSD 2-Clause"),
+    ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("LGPL-2.1", "LGPLv2.1"), ("LGPL-3.0", "LGPLv3"), ("AGPL-3.0", "AGPLv3"), ("MPL-2.0", "MPL 2.0"), ("EPL-2.0", "EPL 2.0"),
+]
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Short notices of these, by rule."""
+    out = [(i, f"SPDX-License-Identifier: {i}") for i in IDENTIFIERS]
+    out += [(i, f"{verb} under the {name}{end}") for i, name in CALLED for verb in ("Licensed", "Released") for end in ("", " license")]
+    out += [(i, f"{verb} under {name}") for i, name in CALLED for verb in ("Licensed", "Released")]
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        out += [(f"CC-{kind}-{v}", f"Licensed under {the}CC {kind} {v}") for v in ("2.0", "2.5", "3.0", "4.0") for the in ("", "the ")]
+    known = {(i, " ".join(t.lower().rstrip(".").split())) for i, t in TEMPLATES}
+    return [(i, t) for i, t in dict.fromkeys(out) if (i, t.lower()) not in known]
+
+
+TEMPLATES[:0] = _notices()
