@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowloom.catalog import Catalog, Metadata
 from flowloom.functions.numeric import NAN
 from flowloom.operators import basins as B
-from flowloom.operators import density, derive, gates, hierarchy, sample, stats
+from flowloom.operators import density, derive, gates, hierarchy, kernel_sums, sample, stats
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class EventFrame:
     logs: dict[str, list[str]] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     key: str = "event_idx"
+    temporary: frozenset[str] = frozenset()
 
     # ---- features ----------------------------------------------------------------------------------------------
 
@@ -51,17 +52,40 @@ class EventFrame:
         return self.resolver.choose(name, set(self.df.columns), self.meta, self.luts) is not None
 
     def features(self, origin: str = "all") -> list[str]:
-        """Sorted names: "innate" (stored), "basin", "ancillary" (derivable), "scalar" (of any of these) or "all"."""
-        innate = [c for c in self.df.columns if self.catalog.exists(c)]
-        basin = sorted({f for b in self.basins for f in b.offers() if self.catalog.exists(f)})
-        ancillary = self.resolver.available(self.df, self.meta, self.luts)
-        every = sorted({*innate, *basin, *ancillary})
-        return {"innate": sorted(innate), "basin": basin, "ancillary": ancillary, "all": every, "scalar": [f for f in every if self.catalog.exists(f, True)]}[origin]
+        """Sorted names that the catalogue knows, by where they come from (PRJ-03):
+
+        innate     stored here, or in an internal basin
+        basin      offered by basins
+        ancillary  derivable and not innate; they may be in basins too
+        temporary  given by with_temporary
+        local      at hand without computing or asking elsewhere: columns, and internal and file basins
+        loaded     local, innate, and those that one projection of stored numbers derives
+        scalar     numbers among all
+        all        everything
+        """
+        columns = sorted(c for c in self.df.columns if self.catalog.exists(c))
+        offered = lambda *kinds: sorted({f for b in self.basins if not kinds or b.kind in kinds for f in b.offers() if self.catalog.exists(f)})
+        if origin == "basin":
+            return offered()
+        if origin == "temporary":
+            return sorted(self.temporary)
+        if origin == "local":
+            return sorted({*columns, *offered("internal", "file")})
+        innate = sorted({*(c for c in columns if c not in self.temporary), *offered("internal")})
+        if origin == "innate":
+            return innate
+        ancillary = [f for f in self.resolver.available(self.df, self.meta, self.luts) if f not in innate]
+        if origin == "ancillary":
+            return ancillary
+        if origin == "loaded":
+            return sorted({*self.features("local"), *innate, *(f for f in ancillary if f in derive.RAPID)})
+        every = sorted({*columns, *innate, *offered(), *ancillary})
+        return {"all": every, "scalar": [f for f in every if self.catalog.exists(f, True)]}[origin]
 
     def with_temporary(self, name: str, values: DataFrame) -> EventFrame:
         """A feature from a table (event_idx, value); NaN where it has no row (UDF-04, PRJ-08)."""
         side = values.select(F.col(self.key), F.col("value").alias(name))
-        return replace(self, df=self.df.join(side, self.key, "left").withColumn(name, F.coalesce(name, F.lit(NAN))))
+        return replace(self, df=self.df.join(side, self.key, "left").withColumn(name, F.coalesce(name, F.lit(NAN))), temporary=self.temporary | {name})
 
     @property
     def run_identifier(self) -> str | None:
@@ -140,6 +164,11 @@ class EventFrame:
         f = self.with_features(x, y)
         return sample.thin(f.gated(), x, y, n, self.key, remove_invalid, scale).select(self.key, x, y)
 
+    def density_exact(self, x: str, y: str, kind: str = "gauss", scale: tuple[str, str] = ("linear", "linear"), positions: DataFrame | None = None) -> DataFrame:
+        """Gated events, or positions (key, x, y), with the kernel density of all gated events there (KDE-06)."""
+        df = self.with_features(x, y).gated()
+        return kernel_sums.density_exact(df, x, y, kind, self.key, positions, scale=scale)
+
     def density_scatter(self, x: str, y: str, kind: str = "histogram", scale: tuple[str, str] = ("linear", "linear"), accuracy: tuple[float | None, float | None] = (None, None)) -> DataFrame:
         """Gated events with the density where they lie (KDE-12)."""
         df = self.with_features(x, y).gated()

@@ -151,25 +151,3 @@ def derived(name: str, config: dict | None = None) -> Column:
         "deform": lambda: 1 - c("circ"),
     }
     return table[name]()
-
-
-def kelvin(t: float) -> float:
-    return t + 273.15
-
-
-def viscosity_number(medium: str, temperature: float, channel_width: float = 20.0, flow_rate: float = 0.16, model: str = "buyukurganci-2022") -> float:
-    """The same for one set of numbers on the driver."""
-    medium = medium_name(medium)
-    if medium == "water":
-        d = 20 - temperature
-        return 1.002 * 10 ** (d / (temperature + 96) * (1.2364 - 1.37e-3 * d + 5.7e-6 * d * d))
-    if flow_rate == 0:
-        return NAN
-    if model == "buyukurganci-2022":
-        a, beta = BUYUKURGANCI_2022[medium]
-        n = 0.00223 * kelvin(temperature) + beta
-        rate = 8 * flow_rate / (channel_width * 1e-3) ** 3 * (0.6671 + 0.2121 / n)
-        return a * math.exp(3379.7 / kelvin(temperature)) * rate ** (n - 1) * 1e3
-    k, n, reference = HEROLD_2017[medium]
-    flow_term = 1.1856 * 6 * flow_rate * 1e-9 / (channel_width * 1e-6) ** 3 * 2 / 3
-    return k * (flow_term * (0.6771 / 0.5928 + 0.2121 / (0.5928 * n))) ** (n - 1) * (temperature / reference) ** -0.866 * 1e3

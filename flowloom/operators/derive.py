@@ -105,6 +105,9 @@ def _bright_bc(ctx: Context) -> dict[str, Column]:
     return {"bright_bc_avg": b["avg"], "bright_bc_sd": b["sd"], "bright_perc_10": b["perc_10"], "bright_perc_90": b["perc_90"]}
 
 
+#: Features that cost no more than reading what they are made of.
+RAPID = frozenset({"area_ratio", "area_um", "aspect", "deform", "index", "time", *(f"fl{k}_max_ctc" for k in (1, 2, 3))})
+
 STANDARD: tuple[Recipe, ...] = (
     _basic("time", ("frame",), ("imaging", "frame rate")),
     _basic("area_ratio", ("area_cvx", "area_msd")),

@@ -142,6 +142,37 @@ def write_fcs(frame: EventFrame, path: str, features: Sequence[str], gated: bool
             out.write(r.data)
 
 
+def write_fcs_files(frame: EventFrame, folder: str, features: Sequence[str], gated: bool = True, rows: int = 1_000_000) -> DataFrame:
+    """FCS files of at most `rows` events each, in the order of the key, written where the events are: (path, events) of each.
+
+    Tasks open the folder where pyarrow can (local and mounted paths, s3, gs, abfs, hdfs), write under a name of their own and
+    rename when all is written, so that a repeated task leaves one file. Events with a value that isn't finite are left out."""
+    f = frame.with_features(*features)
+    names = [x.lower() for x in features]
+    df = (f.gated() if gated else f.df).where(all_of(finite(n) for n in names))
+    ranked = with_rank(df.select(frame.key, *[F.col(n).cast("float").alias(n) for n in names]), frame.key, "_i")
+
+    def write(table):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where.create_dir(base, recursive=True)
+        data = table.sort_values("_i")[names].to_numpy(">f4").tobytes()
+        name, draft = f"{base}/part-{int(table._part.iloc[0]):06d}.fcs", f"{base}/.draft-{uuid.uuid4().hex}"
+        with where.open_output_stream(draft) as out:
+            out.write(fcs_header(names, len(table)))
+            out.write(data)
+        where.move(draft, name)
+        return pd.DataFrame({"path": [name], "events": [len(table)]})
+
+    parts = ranked.withColumn("_part", F.floor(F.col("_i") / rows)).drop(frame.key)
+    done = parts.groupBy("_part").applyInPandas(write, "path string, events long").collect()  # a row for each file
+    return frame.df.sparkSession.createDataFrame(sorted(done), "path string, events long")
+
+
 def read_fcs(data: bytes) -> tuple[list[str], list[tuple[float, ...]]]:
     """Names and events of such a file; for tests."""
     begin, end = int(data[10:18]), int(data[18:26])

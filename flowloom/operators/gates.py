@@ -6,6 +6,7 @@ A gate is a value; `condition()` gives a Column, so that several gates are one f
 from __future__ import annotations
 
 import hashlib
+import re
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
@@ -105,6 +106,78 @@ class Polygon:
         return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & inside
 
 
+class PolygonIdWarning(UserWarning):
+    """A polygon's id was taken."""
+
+
+class PolygonRegistry:
+    """Polygons by unique numbers (FLT-10); a number that was given once isn't given again before all are cleared."""
+
+    def __init__(self):
+        self._by_id: dict[int, Polygon] = {}
+        self._next = 0
+
+    def add(self, polygon: Polygon, unique_id: int | None = None) -> int:
+        """Keep a polygon and give its number: the wanted one, or with a warning a new one if it is taken."""
+        if unique_id is None:
+            unique_id = self._next
+        elif unique_id in self._by_id:
+            new = max(self._next, unique_id + 1)
+            warnings.warn(f"polygon {unique_id} exists; this one is {new}", PolygonIdWarning, stacklevel=2)
+            unique_id = new
+        self._next = max(self._next, unique_id + 1)
+        self._by_id[unique_id] = polygon
+        return unique_id
+
+    def __getitem__(self, unique_id: int) -> Polygon:
+        if unique_id not in self._by_id:
+            raise KeyError(f"there is no polygon {unique_id}")
+        return self._by_id[unique_id]
+
+    def __contains__(self, unique_id: int) -> bool:
+        return unique_id in self._by_id
+
+    def __iter__(self):
+        return iter(sorted(self._by_id))
+
+    def __len__(self) -> int:
+        return len(self._by_id)
+
+    def copy(self, unique_id: int, invert: bool = False) -> int:
+        return self.add(self[unique_id].copy(invert))
+
+    def remove(self, unique_id: int) -> None:
+        del self._by_id[self._known(unique_id)]
+
+    def _known(self, unique_id: int) -> int:
+        self[unique_id]
+        return unique_id
+
+    def clear(self) -> None:
+        self._by_id.clear()
+        self._next = 0
+
+    def gates(self, unique_ids: Sequence[int]) -> list[Polygon]:
+        """The polygons of a measurement's metadata [filtering] polygon filters."""
+        return [self[i] for i in unique_ids]
+
+    def import_text(self, text: str) -> list[int]:
+        """Add all polygons of a polygon file, each under its own number if it is free."""
+        from flowloom.sources.store import parse_polygons
+
+        numbers = [int(m) for m in re.findall(r"^\[Polygon\s+(\d+)\]", text, re.M | re.I)]
+        return [self.add(p, n) for p, n in zip(parse_polygons(text), numbers)]
+
+    def export_text(self) -> str:
+        """All of them as a polygon file, under their numbers."""
+        from flowloom.sources.store import polygons_text
+
+        out = []
+        for i in self:
+            out.append(polygons_text([self[i]]).replace(f"[Polygon {0:08d}]", f"[Polygon {i:08d}]", 1))
+        return "\n".join(out)
+
+
 def points_in_polygon(points: Sequence[tuple[float, float]], polygon: Sequence[tuple[float, float]]) -> list[bool]:
     """The same rule for a few points on the driver."""
     out = []

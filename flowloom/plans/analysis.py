@@ -56,18 +56,18 @@ def _lookup_sql() -> str:
     r = _raster()
     nodes = ", ".join(f"({i}, {j}, {float(r.z[i, j])!r}::DOUBLE)" for i in range(len(r.xs)) for j in range(len(r.ys)))
     return f"""n(i, j, z) AS (VALUES {nodes}),
-p AS (SELECT DISTINCT l_quantity, l_tax, least(floor((l_quantity - 5) / 5.0), 7)::INTEGER AS i, least(greatest(floor((l_tax - 0.01) / 0.02 + 1e-9), 0), 2)::INTEGER AS j FROM lineitem WHERE l_quantity BETWEEN 5 AND 45 AND l_tax BETWEEN 0.01 AND 0.07),
-q AS (SELECT l_quantity, l_tax, (l_quantity - 5) / 5.0 - i AS u, (l_tax - 0.01) / 0.02 - j AS v, a.z AS za, b.z AS zb, c.z AS zc, d.z AS zd FROM p JOIN n a USING (i, j) JOIN n b ON b.i = p.i + 1 AND b.j = p.j JOIN n c ON c.i = p.i AND c.j = p.j + 1 JOIN n d ON d.i = p.i + 1 AND d.j = p.j + 1),
-v AS (SELECT l_quantity, l_tax, za * (1 - u) * (1 - v) + zb * u * (1 - v) + zc * (1 - u) * v + zd * u * v AS density FROM q)"""
+p AS (SELECT l_orderkey, l_quantity, l_tax, least(floor((l_quantity - 5) / 5.0), 7)::INTEGER AS i, least(greatest(floor((l_tax - 0.01) / 0.02 + 1e-9), 0), 2)::INTEGER AS j FROM lineitem WHERE l_quantity BETWEEN 5 AND 45 AND l_tax BETWEEN 0.01 AND 0.07),
+q AS (SELECT l_orderkey, l_quantity, l_tax, (l_quantity - 5) / 5.0 - i AS u, (l_tax - 0.01) / 0.02 - j AS v, a.z AS za, b.z AS zb, c.z AS zc, d.z AS zd FROM p JOIN n a USING (i, j) JOIN n b ON b.i = p.i + 1 AND b.j = p.j JOIN n c ON c.i = p.i AND c.j = p.j + 1 JOIN n d ON d.i = p.i + 1 AND d.j = p.j + 1),
+v AS (SELECT l_orderkey, l_quantity, l_tax, za * (1 - u) * (1 - v) + zb * u * (1 - v) + zc * (1 - u) * v + zd * u * v AS density FROM q)"""
 
 
-@query(f"WITH {_lookup_sql()} SELECT DISTINCT l_quantity, l_tax, round(v.density, 5) AS density FROM lineitem LEFT JOIN v USING (l_quantity, l_tax)")
+@query(f"WITH {_lookup_sql()} SELECT l_orderkey, l_quantity, l_tax, round(density, 5) AS density FROM v UNION ALL SELECT l_orderkey, l_quantity, l_tax, NULL FROM lineitem WHERE NOT (l_quantity BETWEEN 5 AND 45 AND l_tax BETWEEN 0.01 AND 0.07)")
 def density_lookup(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax").distinct()
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax")
     return D.density_at_events(points, "l_quantity", "l_tax", _raster()).withColumn("density", F.round(F.nanvl("density", F.lit(None)), 5))
 
 
-@query(f"WITH {_lookup_sql()} SELECT round(quantile_cont(coalesce(v.density, 0), 0.25), 4) AS q25, round(quantile_cont(coalesce(v.density, 0), 0.5), 4) AS q50, round(quantile_cont(coalesce(v.density, 0), 0.9), 4) AS q90 FROM lineitem LEFT JOIN v USING (l_quantity, l_tax)")
+@query(f"WITH {_lookup_sql()} SELECT round(quantile_cont(coalesce(v.density, 0), 0.25), 4) AS q25, round(quantile_cont(coalesce(v.density, 0), 0.5), 4) AS q50, round(quantile_cont(coalesce(v.density, 0), 0.9), 4) AS q90 FROM (SELECT density FROM v UNION ALL SELECT NULL FROM lineitem WHERE NOT (l_quantity BETWEEN 5 AND 45 AND l_tax BETWEEN 0.01 AND 0.07)) v")
 def quantile_levels(spark, sf_dir):
     levels = D.quantile_levels(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax", _raster(), [0.25, 0.5, 0.9])
     return spark.createDataFrame([tuple(round(v, 4) for v in levels)], "q25 double, q50 double, q90 double")

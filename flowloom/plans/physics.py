@@ -74,15 +74,15 @@ def _lut_sql() -> str:
     scale = (0.16 / 0.04) * (5.0 / 15.0) * (20 / 30) ** 3
     bary = "((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3))"
     return f"""WITH t(x1, y1, x2, y2, x3, y3, fa, fb, fc) AS (VALUES {rows}),
-e AS (SELECT DISTINCT l_quantity, l_discount, {u} AS x, {v} AS y FROM lineitem),
-h AS (SELECT l_quantity, l_discount, ((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / {bary} AS p, ((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / {bary} AS q, fa, fb, fc FROM e, t),
-i AS (SELECT l_quantity, l_discount, max(p * fa + q * fb + (1 - p - q) * fc) AS f FROM h WHERE p >= -1e-12 AND q >= -1e-12 AND 1 - p - q >= -1e-12 GROUP BY 1, 2)
-SELECT l_quantity, l_discount, round(f * {scale!r}, 5) AS emodulus FROM e LEFT JOIN i USING (l_quantity, l_discount)"""
+e AS (SELECT row_number() OVER () AS r, l_orderkey, l_quantity, l_discount, {u} AS x, {v} AS y FROM lineitem),
+h AS (SELECT r, ((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / {bary} AS p, ((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / {bary} AS q, fa, fb, fc FROM e, t),
+i AS (SELECT r, max(p * fa + q * fb + (1 - p - q) * fc) AS f FROM h WHERE p >= -1e-12 AND q >= -1e-12 AND 1 - p - q >= -1e-12 GROUP BY r)
+SELECT l_orderkey, l_quantity, l_discount, round(f * {scale!r}, 5) AS emodulus FROM e LEFT JOIN i USING (r)"""
 
 
 @query(_lut_sql())
 def emodulus_lut(spark, sf_dir):
-    events = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount").distinct()
+    events = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
     value = L.emodulus(synthetic_lut(), "l_quantity", "l_discount", 30.0, 0.16, 5.0, pixel_um=0)
     return events.withColumn("emodulus", value).withColumn("emodulus", F.round(F.nanvl("emodulus", F.lit(None)), 5))
 
