@@ -158,7 +158,7 @@ def write_fcs_files(frame: EventFrame, folder: str, features: Sequence[str], gat
         import pandas as pd
         from pyarrow import fs
 
-        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where, base = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
         where.create_dir(base, recursive=True)
         data = table.sort_values("_i")[names].to_numpy(">f4").tobytes()
         name, draft = f"{base}/part-{int(table._part.iloc[0]):06d}.fcs", f"{base}/.draft-{uuid.uuid4().hex}"

@@ -269,8 +269,12 @@ def isoelastics(spark: SparkSession, text: str) -> DataFrame:
     """Lines of equal stiffness: (emodulus, line array<struct<x, deform>>), ordered by x."""
     table, meta = parse_mtext(text)
     x = "volume" if "volume" in table else "area_um"
-    df = spark.createDataFrame(table.rename(columns={x: "x"})[["x", "deform", "emodulus"]])
-    return df.groupBy("emodulus").agg(F.sort_array(F.collect_list(F.struct("x", "deform"))).alias("line"))
+    return isoelastic_lines(spark.createDataFrame(table.rename(columns={x: "x"})[["x", "deform", "emodulus"]]))
+
+
+def isoelastic_lines(points: DataFrame) -> DataFrame:
+    """Points (x, deform, emodulus) as lines (emodulus, line), ordered by x."""
+    return points.groupBy("emodulus").agg(F.sort_array(F.collect_list(F.struct("x", "deform"))).alias("line"))
 
 
 def convert_isoelastics(points: DataFrame, feature: str = "area_um", width_in: float = 20.0, width_out: float = 20.0, flow_in: float = 0.04, flow_out: float = 0.04, viscosity_in: float = 15.0, viscosity_out: float = 15.0, pixel_um: float = 0.0) -> DataFrame:

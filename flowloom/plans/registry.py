@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["combined_gate_summary"](spark, sf_dir)
 
 
-from flowloom.plans import analysis, arrays, gating, linking, physics, storing, workflow  # noqa: E402, F401
+from flowloom.plans import analysis, arrays, features, gating, linking, physics, storing, workflow  # noqa: E402, F401
