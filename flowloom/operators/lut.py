@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import NAN, as_column
 from flowloom.functions.physics import pixelation_delta, scale_feature
+from flowloom.functions.physics import viscosity as viscosity_of
 
 MAX_POINTS = 50_000
 
@@ -287,3 +288,62 @@ def convert_isoelastics(points: DataFrame, feature: str = "area_um", width_in: f
 def swapped(points: DataFrame) -> DataFrame:
     """The same lines with circularity in place of deformation."""
     return points.select("x", (1 - F.col("deform")).alias("circ"), "emodulus")
+
+
+class MeaninglessStiffnessWarning(UserWarning):
+    """Isoelastics have their own stiffness, since the measurement doesn't tell its viscosity."""
+
+
+class Isoelastics:
+    """Sets of isoelastics by identifier and pair of features (ISO-01, ISO-04). A set of deform serves circ too, and either
+    order of the features."""
+
+    def __init__(self):
+        self._sets: dict[tuple[str, str], tuple[DataFrame, float, float, float]] = {}
+
+    def add(self, points: DataFrame, feature: str, identifier: str, channel_width: float, flow_rate: float, viscosity: float) -> None:
+        """points (x, deform, emodulus), x being `feature`: area_um or volume."""
+        if feature not in ("area_um", "volume"):
+            raise ValueError(f"no isoelastics over {feature!r}")
+        if not identifier:
+            raise ValueError("isoelastics need the identifier of their table")
+        self._sets[identifier, feature] = (points.select("x", "deform", "emodulus"), float(channel_width), float(flow_rate), float(viscosity))
+
+    def load(self, spark: SparkSession, text: str) -> str:
+        """Add a set from text with a header, and give its identifier."""
+        table, meta = parse_mtext(text)
+        x = "volume" if "volume" in table else "area_um"
+        identifier = meta.get("lut identifier") or meta.get("identifier", "")
+        self.add(spark.createDataFrame(table.rename(columns={x: "x"})[["x", "deform", "emodulus"]]), x, identifier, meta["channel_width"], meta["flow_rate"], meta["fluid_viscosity"])
+        return identifier
+
+    def identifiers(self) -> list[str]:
+        return sorted({i for i, _ in self._sets})
+
+    def get(self, first: str, second: str, identifier: str, channel_width: float, flow_rate: float | None = None, viscosity: float | None = None, pixel_um: float = 0.0) -> DataFrame:
+        """Lines (emodulus, line array<struct<first, second>>) for a channel, flow and viscosity; without these two, those of the
+        set. pixel_um adds the pixelation of measured data."""
+        pair = {first, second}
+        feature = next(iter(pair & {"area_um", "volume"}), None)
+        other = next(iter(pair & {"deform", "circ"}), None)
+        if len(pair) != 2 or feature is None or other is None or (identifier, feature) not in self._sets:
+            raise KeyError(f"no isoelastics of {first} and {second} in {identifier!r}")
+        points, width, flow, eta = self._sets[identifier, feature]
+        out = convert_isoelastics(points, feature, width, channel_width, flow, flow if flow_rate is None else flow_rate, eta, eta if viscosity is None else viscosity, pixel_um)
+        side = F.col("deform") if other == "deform" else 1 - F.col("deform")
+        named = {feature: F.col("x"), other: side}
+        point = F.struct(F.col("x").alias("_x"), F.struct(*[named[n].alias(n) for n in (first, second)]).alias("p"))
+        lines = out.groupBy("emodulus").agg(F.sort_array(F.collect_list(point)).alias("line"))
+        return lines.select("emodulus", F.transform("line", lambda p: p["p"]).alias("line"))
+
+    def get_for(self, first: str, second: str, meta, identifier: str, viscosity: float | None = None, pixelated: bool = False) -> DataFrame:
+        """The lines for a measurement's metadata. Without a viscosity it follows from medium and temperature; if these are
+        missing the set's own is taken, with a warning."""
+        width, flow = meta.get("setup", "channel width"), meta.get("setup", "flow rate")
+        if viscosity is None and meta.get("setup", "temperature") is not None and meta.get("setup", "medium"):
+            points = next(iter(self._sets.values()))[0]
+            found = points.sparkSession.range(1).select(viscosity_of(meta.get("setup", "medium"), float(meta.get("setup", "temperature")), width, flow))
+            viscosity = found.first()[0]
+        elif viscosity is None:
+            warnings.warn("stiffness of the isoelastics isn't that of the measurement", MeaninglessStiffnessWarning, stacklevel=2)
+        return self.get(first, second, identifier, width, flow, viscosity, meta.get("imaging", "pixel size") if pixelated else 0.0)
