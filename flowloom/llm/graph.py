@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import join_spread, settle
+from flowloom.llm.common import forget, join_spread, settle
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -45,6 +45,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if mark[0] == 0:
             break
         now = settle(_small_star(_large_star(now, mark[0])))
+        forget(now.sparkSession)
     else:
         raise RuntimeError(f"the components have not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

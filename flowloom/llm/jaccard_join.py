@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import WORD, TwoAgeCache, ascii_lower, join_spread, read, settle, text_or_empty, unused
+from flowloom.llm.common import WORD, TwoAgeCache, ascii_lower, forget, join_spread, read, settle, text_or_empty, unused
 from flowloom.llm.graph import components
 
 T, LIMIT, DEPTH, BLOCK = 64, 256, 3, 512
@@ -189,6 +189,7 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, limit: in
         small = met.where(F.col("n") <= limit).select("bucket", "sig").join(hashes, "sig")
         found.append(settle(_compare_buckets(small, similarity).distinct()))
         big = met.where(F.col("n") > limit)
+        forget(sets.sparkSession)
         if big.isEmpty():
             break
         if k + 1 == depth:  # what no path has parted is one candidate group; nobody needs to gather it
