@@ -147,22 +147,22 @@ class GroupStore:
         """Put features (event_idx, names) in the place of stored ones, or add them. All events must be there, each once; parts
         of other features are neither read nor written, and a part goes out of use when none of its features is left."""
         names = [c for c in df.columns if c != "event_idx"] if names is None else list(names)
-
-        def change(m: dict) -> dict:
-            folder, found, rows, last = self._part(df, names)
-            distinct = self.spark.read.parquet(f"{self.path}/{folder}").select("event_idx").distinct().count()
-            if m["groups"] and not rows == distinct == m["events"] == last + 1:
-                raise ValueError(f"{rows} rows of {distinct} events up to {last}; the store has {m['events']}")
-            for g in m["groups"]:
-                g["features"] = [f for f in g["features"] if f not in names]
-                g["statistics"] = {f: s for f, s in g["statistics"].items() if f not in names}
-            m["groups"] = [g for g in m["groups"] if g["features"]] + [{"features": names, "parts": [folder], "statistics": found}]
-            m["events"] = m["events"] or rows
-            return m
-
-        self._change(change)
+        self._change(lambda m: self._replaced(m, df, names))
         return self
 
+    def _replaced(self, m: dict, df: DataFrame, names: list[str]) -> dict:
+        """The manifest with a new part for these features."""
+        folder, found, rows, last = self._part(df, names)
+        distinct = self.spark.read.parquet(f"{self.path}/{folder}").select("event_idx").distinct().count()
+        if m["groups"] and not rows == distinct == m["events"] == last + 1:
+            raise ValueError(f"{rows} rows of {distinct} events up to {last}; the store has {m['events']}")
+        for g in m["groups"]:
+            g["features"] = [f for f in g["features"] if f not in names]
+            g["statistics"] = {f: s for f, s in g["statistics"].items() if f not in names}
+        m["groups"] = [g for g in m["groups"] if g["features"]] + [{"features": names, "parts": [folder], "statistics": found}]
+        m["events"] = m["events"] or rows
+        return m
+
     def set_metadata(self, meta: Metadata) -> GroupStore:
         self._change(lambda m: m | {"meta": meta.persistent()})
         return self
@@ -220,17 +220,16 @@ class GroupStore:
                 raise ValueError(f"all {MAPS} basin maps are in use")
             return equal[0] if equal else free[0]
 
-        self.manifest = self._read(None)
-        found = name_of(self.manifest)
-        if found not in self.manifest["maps"]:
-            self.replace(rows.select("event_idx", F.col("basin_idx").cast("bigint").alias(found)))
-
-            def change(m: dict) -> dict:
-                m["maps"][found] = digest
-                return m
+        def change(m: dict) -> dict:
+            found = name_of(m)
+            m = self._replaced(m, rows.select("event_idx", F.col("basin_idx").cast("bigint").alias(found)), [found])
+            m["maps"][found] = digest
+            return m
 
-            self._change(change)
-        return found
+        self.manifest = self._read(None)
+        if name_of(self.manifest) not in self.manifest["maps"]:
+            self._change(change)  # the name is chosen again if another writer was first
+        return name_of(self.manifest)
 
     def store_basin(self, name: str, paths: Sequence[str], kind: str = "file", format: str = "parquet", features: Sequence[str] | None = None, mapping: DataFrame | tuple[str, DataFrame] | None = None, identifier: str | None = None, key: str = "event_idx", description: str | None = None, catalog: Catalog | None = None) -> str:
         """Keep a basin's definition, once however often it is stored, and give its digest. A mapping is stored by store_map. The

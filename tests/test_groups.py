@@ -103,6 +103,23 @@ def test_maps_are_shared(spark, tmp_path):
     assert rows(store.read("basinmap1").select("event_idx", F.col("basinmap1").alias("basin_idx"))) == rows(at(3))
 
 
+def test_two_writers_of_maps(spark, tmp_path, monkeypatch):
+    store = GroupStore(spark, str(tmp_path / "s")).append(events(spark, 20).drop("image"))
+    at = lambda k: spark.range(20).select(F.col("id").alias("event_idx"), (F.col("id") * k % 20).alias("basin_idx"))
+    first, real = [True], GroupStore._part
+
+    def part(self, *a):
+        out = real(self, *a)
+        if first.pop() if first else False:
+            GroupStore(spark, store.path).store_map(at(3))
+        return out
+
+    monkeypatch.setattr(GroupStore, "_part", part)
+    assert store.store_map(at(7)) == "basinmap1" and sorted(store.manifest["maps"]) == ["basinmap0", "basinmap1"]
+    got = store.read("basinmap0", "basinmap1")
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 3 * i % 20, 7 * i % 20) for i in range(20)]
+
+
 def test_basins(spark, tmp_path):
     other = GroupStore(spark, str(tmp_path / "o")).append(spark.range(10).select(F.col("id").alias("event_idx"), (F.col("id") * 1.5).alias("tilt")))
     store = GroupStore(spark, str(tmp_path / "s")).append(events(spark, 6).drop("image"))
