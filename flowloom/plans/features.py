@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from flowloom.catalog import Metadata
+from flowloom.catalog import Catalog, Metadata, parse_config
 from flowloom.frame import EventFrame
 from flowloom.functions import geometry as G
 from flowloom.operators import density as D
@@ -240,3 +243,96 @@ def quality_metadata_rules(spark, sf_dir):
     meta.values["online_filter"] = {"area_um, deform polygon points": [[1.0, 2.0], [3.0, 4.0]]}
     cues = quality.metadata_cues(meta, True) + quality.choice_cues(meta, {"setup": {"chip region": ["channel", "reservoir"]}})
     return spark.createDataFrame([(c[3], c[0]) for c in cues if c[1] != "metadata missing"], "key string, level string")
+
+
+# ---- lines, masks, text ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH k AS (SELECT floor(l_quantity / 5)::INTEGER AS i, round(l_discount * 100)::INTEGER AS j, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT i, j, coalesce(n, 0) AS n FROM (SELECT unnest(range(11))::INTEGER AS i) a CROSS JOIN (SELECT unnest(range(11))::INTEGER AS j) b LEFT JOIN k USING (i, j)),
+l AS (SELECT unnest([0.25, 0.5, 0.75]) * (SELECT max(n) FROM k) + 0.5 AS level),
+e AS (SELECT level, (a.n > level) <> (b.n > level) AS crossed FROM g a JOIN g b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1), l)
+SELECT level, count_if(crossed) AS vertices FROM e GROUP BY level"""
+)
+def iso_line_vertices(spark, sf_dir):
+    """Vertices of iso-lines over a histogram: one on each edge of the grid whose ends lie on either side of the level."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).cast("int").alias("i"), F.rint(F.col("l_discount") * 100).cast("int").alias("j")).count().collect()
+    z = np.zeros((11, 11))
+    for r in cells:
+        z[r.i, r.j] = r["count"]
+    rows = []
+    for share in (0.25, 0.5, 0.75):
+        level = share * z.max() + 0.5
+        rows.append((float(level), len({tuple(p) for line in D.iso_lines(z, level) for p in line.tolist()})))
+    return spark.createDataFrame(rows, "level double, vertices long")
+
+
+_TURNS = """WITH p AS (SELECT vec_id, i, (10 + round(embedding[i]::DOUBLE, 4)) * cos((i - 1) * 0.39269908169872414) AS x, (10 + round(embedding[i]::DOUBLE, 4)) * sin((i - 1) * 0.39269908169872414) AS y FROM embeddings, (SELECT unnest(range(1, 17)) AS i) t),
+s AS (SELECT vec_id, i, atan2(coalesce(lead(y) OVER w, first_value(y) OVER w) - y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x) AS heading FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT vec_id, heading - coalesce(lag(heading) OVER w, last_value(heading) OVER w) AS turn FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"{_TURNS} SELECT vec_id, round(max(abs(degrees(turn - 2 * pi() * floor((turn + pi()) / (2 * pi()))))), 4) AS sharpest FROM t GROUP BY vec_id")
+def opening_angles(spark, sf_dir):
+    """The sharpest turn of each of many outlines."""
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double"), 4)))
+    along = lambda f: F.transform("v", lambda r, i: (r + 10) * f(i * 0.39269908169872414))
+
+    @F.pandas_udf("double")
+    def sharpest(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([D.opening_angles(np.column_stack([x, y])).max() for x, y in zip(xs, ys)])
+
+    return e.select("vec_id", F.round(sharpest(along(F.cos), along(F.sin)), 4).alias("sharpest"))
+
+
+@query(f"SELECT vec_id, (({_W} + 1) * ({_H} + 1))::BIGINT AS pixels FROM embeddings")
+def masks_of_boxes(spark, sf_dir):
+    """Pixels of masks that are filled from outlines of boxes, borders included."""
+    w, h = 2 + F.col("vec_id") % 5, 3 + F.col("vec_id") % 7
+
+    @F.pandas_udf("long")
+    def pixels(ws: pd.Series, hs: pd.Series) -> pd.Series:
+        def border(a: int, b: int) -> np.ndarray:
+            right, up = [(x, 1) for x in range(1, a + 1)], [(1 + a, y) for y in range(1, b + 1)]
+            left, down = [(x, 1 + b) for x in range(1 + a, 1, -1)], [(1, y) for y in range(1 + b, 1, -1)]
+            return np.array(right + up + left + down)
+
+        return pd.Series([int(G.fill_contour(border(a, b), (14, 14)).sum()) for a, b in zip(ws, hs)])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", pixels(w, h).alias("pixels"))
+
+
+@query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value, 'text' AS form FROM nation UNION ALL SELECT n_name, CAST(n_regionkey AS VARCHAR), 'json' FROM nation")
+def metadata_forms(spark, sf_dir):
+    """A user's metadata through text and through JSON."""
+    meta = Metadata()
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+        meta.set("user", r.n_name, r.n_regionkey)
+    text = parse_config(meta.to_text()).values["user"]
+    back = json.loads(meta.to_json())["user"]
+    return spark.createDataFrame([(k, str(v), form) for form, d in (("text", text), ("json", back)) for k, v in d.items()], "key string, value string, form string")
+
+
+@query("SELECT event_type AS feature, count(*) AS n, 'Type ' || event_type AS label FROM events GROUP BY event_type")
+def registered_features(spark, sf_dir):
+    """Features that a session registers, named by data, and their labels."""
+    e = table(spark, sf_dir, "events")
+    wide = e.groupBy().pivot("event_type").count()
+    c = Catalog()
+    for name in wide.columns:
+        c.register(name, f"Type {name} [a.u.]")
+    f = EventFrame(wide.withColumn("event_idx", F.lit(0)), catalog=c)
+    long = f.df.unpivot([], f.features("innate"), "feature", "n")
+    labels = spark.createDataFrame([(n, c.label(n, unit=False)) for n in f.features("innate")], "feature string, label string")
+    return long.join(F.broadcast(labels), "feature").select("feature", "n", "label")
+
+
+@query("SELECT emodulus, count(*) AS points, min(x) AS first_x FROM (SELECT DISTINCT l_linenumber::DOUBLE AS emodulus, l_quantity AS x FROM lineitem) GROUP BY emodulus")
+def isoelastics_text(spark, sf_dir):
+    """Lines of equal stiffness through the text format with its header."""
+    points = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_linenumber").cast("double").alias("e")).distinct().collect()  # 50 quantities, 7 lines
+    head = '# BEGIN METADATA\n# {"channel_width": 20, "flow_rate": 0.04, "fluid_viscosity": 15, "lut identifier": "T"}\n# END METADATA\n#\n# area_um [um^2]\tdeform\temodulus [kPa]\n'
+    sets = lut.Isoelastics()
+    sets.load(spark, head + "\n".join(f"{r.l_quantity}\t{r.l_quantity / 1000}\t{r.e}" for r in points))
+    lines = sets.get("deform", "area_um", "T", 20)
+    return lines.select("emodulus", F.size("line").cast("bigint").alias("points"), F.array_min(F.transform("line", lambda p: p["area_um"])).alias("first_x"))
