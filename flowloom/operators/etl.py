@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Sequence
 from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.catalog import Metadata
@@ -37,27 +39,68 @@ def concatenate(frames: Sequence[EventFrame]) -> EventFrame:
     logs of each under a prefix. One plan for all runs: one grouped aggregate, of which a few numbers for each run reach the
     driver, ranks within runs, and a join with the offsets."""
     runs = sorted(frames, key=lambda f: run_order(f.meta))
-    shared = [c for c in runs[0].df.columns if all(c in f.df.columns for f in runs[1:]) and c not in (runs[0].key, "index", "root_idx", "parent_idx")]
+    shared = _shared([(f.df.columns, f.key) for f in runs])
     every = union_all([f.df.select(F.lit(i).alias("_run"), F.col(f.key).alias("_key"), *shared) for i, f in enumerate(runs)])
+    out, total = _one_after_another(every, shared, [f.meta for f in runs])
+    logs = {f"src-#{i + 1}_{k}": v for i, f in enumerate(runs) for k, v in f.logs.items()}
+    meta = runs[0].meta.copy().set("experiment", "run index", 1).set("experiment", "event count", total)
+    return replace(runs[0], df=out, meta=meta, logs=logs, basins=(), gating=(), excluded=None, key="event_idx")
+
+
+def _shared(columns: Sequence[tuple[Sequence[str], str]]) -> list[str]:
+    """Features that all runs have, without numbers that are given anew."""
+    first, key = columns[0]
+    return [c for c in first if all(c in other for other, _ in columns[1:]) and c not in (key, "index", "root_idx", "parent_idx")]
+
+
+def _one_after_another(every: DataFrame, shared: list[str], metas: Sequence[Metadata]) -> tuple[DataFrame, int]:
+    """Rows (_run, _key, shared) of all runs on one axis, and how many they are."""
     sums = [F.count("*").alias("n")] + ([F.max_by("index_online", "_key").alias("last")] if "index_online" in shared else [])
     found = {r["_run"]: r for r in every.groupBy("_run").agg(*sums).collect()}
-    first, at, online = start_of(runs[0].meta), 0, 0
-    places, logs = [], {}
-    for i, f in enumerate(runs):
-        shift = start_of(f.meta) - first
-        places.append((i, at, shift, round(shift * float(f.meta.get("imaging", "frame rate", 0))), online))
+    first, at, online, places = start_of(metas[0]), 0, 0, []
+    for i, meta in enumerate(metas):
+        shift = start_of(meta) - first
+        places.append((i, at, shift, round(shift * float(meta.get("imaging", "frame rate", 0))), online))
         if i in found:
             at += found[i].n
             if "index_online" in shared:
                 online += (found[i]["last"] or 0) + 1
-        logs |= {f"src-#{i + 1}_{k}": v for k, v in f.logs.items()}
     place = every.sparkSession.createDataFrame(places, "_run int, _at long, _shift double, _frames long, _online long")
     ranked = with_rank(every, "_key", "_i", by=("_run",)).join(F.broadcast(place), "_run")  # one row for each run
     change: dict[str, Column] = {"event_idx": F.col("_i") + F.col("_at"), "index": F.col("_i") + F.col("_at") + 1}
     change |= {c: F.col(c) + F.col(by) for c, by in (("time", "_shift"), ("frame", "_frames"), ("index_online", "_online")) if c in shared}
-    out = ranked.withColumns(change).select("event_idx", "index", *shared)
-    meta = runs[0].meta.copy().set("experiment", "run index", 1).set("experiment", "event count", at)
-    return replace(runs[0], df=out, meta=meta, logs=logs, basins=(), gating=(), excluded=None, key="event_idx")
+    return ranked.withColumns(change).select("event_idx", "index", *shared), at
+
+
+def _bare(path: str) -> str:
+    """A path without scheme and host slashes, by which a file's folder is recognised."""
+    return "/" + re.sub(r"^[A-Za-z0-9+.-]+:/*", "", path).strip("/")
+
+
+def concatenate_stores(spark: SparkSession, paths: Sequence[str]) -> EventFrame:
+    """As concatenate, of stored measurements: runs with equal columns are one scan, so that thousands of runs of one
+    instrument make one node of the plan. The driver reads each run's metadata, all in one job, and one footer of each. Logs stay with
+    the runs."""
+    at = {_bare(p): p for p in paths}
+    if len(at) < len(paths):
+        raise ValueError("a store is named twice")
+    texts = spark.read.option("wholetext", True).text([f"{p}/meta.json" for p in paths]).select("value", "_metadata.file_path").collect()
+    metas = {_bare(r.file_path.rsplit("/meta.json/", 1)[0]): Metadata(json.loads(r.value)) for r in texts}
+    order = sorted(at, key=lambda k: run_order(metas[k]))
+    schemas = {k: spark.read.parquet(f"{at[k]}/events").schema for k in order}
+    shared = _shared([(schemas[k].names, "event_idx") for k in order])
+    alike: dict[tuple, list[str]] = {}
+    for k in order:
+        alike.setdefault(tuple((f.name, f.dataType.simpleString()) for f in schemas[k]), []).append(k)
+    number = spark.createDataFrame([(k, i) for i, k in enumerate(order)], "_folder string, _run int")
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract("_file", "^(?:[A-Za-z0-9+.-]+:)?/*(.*)/events/[^/]*$", 1), "/+$", ""))
+    parts = []
+    for keys in alike.values():
+        df = spark.read.schema(schemas[keys[0]]).parquet(*[f"{at[k]}/events" for k in keys]).select(F.col("event_idx").alias("_key"), *shared, F.col("_metadata.file_path").alias("_file"))
+        parts.append(df.withColumn("_folder", folder).join(F.broadcast(number), "_folder").select("_run", "_key", *shared))
+    out, total = _one_after_another(union_all(parts), shared, [metas[k] for k in order])
+    meta = metas[order[0]].copy().set("experiment", "run index", 1).set("experiment", "event count", total)
+    return EventFrame(out, meta)
 
 
 def split(df: DataFrame, rows: int, key: str = "event_idx") -> DataFrame:

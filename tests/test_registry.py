@@ -1,4 +1,4 @@
-"""Polygon registry, feature origins and FCS files written by tasks."""
+"""Polygon registry, feature origins, FCS files written by tasks, and runs joined by scans."""
 
 import os
 
@@ -68,3 +68,24 @@ def test_density_of_a_frame(spark):
     f = EventFrame(df).gate(Box("deform", -0.9, 2))
     got = f.density_exact("deform", "tilt")
     assert got.count() == f.gated().count() and got.where("density > 0").count() == got.count()
+
+
+def test_stores_of_equal_columns_are_one_scan(spark, tmp_path):
+    from flowloom.sources import store
+
+    frames, paths = [], []
+    for k in range(5):
+        df = spark.range(4 + k).select(F.col("id").alias("event_idx"), (F.col("id") * 0.5).alias("time"), F.col("id").alias("frame"), (F.col("id") + 1).alias("index_online"), (F.col("id") * k).cast("double").alias("deform"))
+        df = df.withColumn("tilt", F.lit(1.0)) if k == 2 else df
+        meta = Metadata().update({"experiment": {"date": "2020-01-01", "time": f"10:0{(3 * k) % 5}:00", "run index": 1}, "imaging": {"frame rate": 10}})
+        frames.append(EventFrame(df, meta))
+        paths.append(str(tmp_path / f"r{k}"))
+        store.write_store(frames[-1], paths[-1], gated=False)
+    one, many = etl.concatenate_stores(spark, paths), etl.concatenate(frames)
+    assert one.count() == many.count() == 30 and set(one.df.columns) == set(many.df.columns)
+    columns = sorted(many.df.columns)
+    assert sorted(map(tuple, one.df.select(columns).collect())) == sorted(map(tuple, many.df.select(columns).collect()))
+    scans = lambda f: f.df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert 5 * scans(one) == 2 * scans(etl.concatenate([store.read_store(spark, p) for p in paths]))  # two kinds of columns, five runs
+    with pytest.raises(ValueError, match="twice"):
+        etl.concatenate_stores(spark, paths + paths[:1])
