@@ -177,7 +177,7 @@ def isoelastics_lines(spark, sf_dir):
 # ---- densities -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT ix, iy, round(x0 + (x1 - x0) * ix / (nx - 1), 6) AS x, round(y0 + (y1 - y0) * iy / (ny - 1), 6) AS y, 1.0::DOUBLE AS z FROM (SELECT min(value) AS x0, max(value) AS x1, min(user_id)::DOUBLE AS y0, max(user_id)::DOUBLE AS y1, ceil((max(value) - min(value)) / 20.0)::INTEGER AS nx, ceil((max(user_id) - min(user_id)) / 15.0)::INTEGER AS ny FROM events) r, (SELECT unnest(range(2000))::INTEGER AS ix) a, (SELECT unnest(range(2000))::INTEGER AS iy) b WHERE ix < nx AND iy < ny")
+@query("SELECT ix, iy, round(x0 + (x1 - x0) * ix / (nx - 1), 6) AS x, round(y0 + (y1 - y0) * iy / (ny - 1), 6) AS y, 1.0::DOUBLE AS z FROM (SELECT min(value) AS x0, max(value) AS x1, min(user_id)::DOUBLE AS y0, max(user_id)::DOUBLE AS y1, greatest(2, ceil((max(value) - min(value)) / 20.0))::INTEGER AS nx, greatest(2, ceil((max(user_id) - min(user_id)) / 15.0))::INTEGER AS ny FROM events) r, (SELECT unnest(range(2000))::INTEGER AS ix) a, (SELECT unnest(range(2000))::INTEGER AS iy) b WHERE ix < nx AND iy < ny")
 def raster_nodes(spark, sf_dir):
     """Nodes of a raster of given accuracy, without a density."""
     r = D.raster(_events(spark, sf_dir), "deform", "area_um", "none", (20.0, 15.0))
