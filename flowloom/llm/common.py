@@ -49,12 +49,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Have the driver collect its garbage. Shuffles, broadcasts and plans of finished rounds are let go only then; in loops of
-    many short jobs they would pile up."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def unused(columns: list[str], name: str) -> str:
     """name, with underscores added until no column is called so."""
     taken = {c.lower() for c in columns}
