@@ -135,7 +135,8 @@ def digest_round_trip(df: DataFrame, path: str | None = None, leaf: int = LEAF_C
     """Encode, decode and digest in one pass, so that ids and decoded texts need not leave the worker.
 
     One row (doc_id, n_tokens, ids_sha256, decoded_sha256) for each row, repeated rows included. A null text counts as
-    empty: no ids, and the digest of the empty string twice.
+    empty: no ids, and the digest of the empty string twice; an empty table gives no rows. Very long texts are encoded
+    whole, leaf by leaf, in the task that reads them.
     """
     path = path or default_vocabulary()
 
@@ -157,7 +158,8 @@ def digest_round_trip(df: DataFrame, path: str | None = None, leaf: int = LEAF_C
 
 
 def encode_documents(df: DataFrame, path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
-    """One row (doc_id, ids, n_tokens, decoded_sha256) for each row; null texts have no ids. No shuffle."""
+    """One row (doc_id, ids, n_tokens, decoded_sha256) for each row; null texts have no ids,
+    repeated rows a row each, an empty table none. Very long texts are encoded whole, leaf by leaf. No shuffle."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

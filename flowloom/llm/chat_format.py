@@ -101,7 +101,7 @@ def format_conversations(df: DataFrame, part_bytes: int = PART_BYTES) -> DataFra
     turn (then role and text for ties), in one part or, if long, in several numbered ones.
 
     Null texts and roles are empty; null conversation ids are one conversation, null turns come first; repeated rows
-    are repeated turns. The rows are dealt by conversation and sorted by Spark, which spills; a task holds a batch and
+    are repeated turns; an empty table gives no rows. The rows are dealt by conversation and sorted by Spark, which spills; a task holds a batch and
     an unfinished part at most, so that one conversation may have any number of turns.
     """
     slim = df.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text_or_empty().alias("text"))

@@ -71,7 +71,10 @@ def fingerprint_documents(docs: DataFrame, words: int = 5, scale: int = 8) -> Da
     """Fingerprints of each text and of its edited text, whose last half is replaced by the start of the next document.
 
     Null texts count as empty. A null doc_id comes before all others. Rows with one doc_id each get a row of the result;
-    as next document they count once, by their smallest text. A single document follows itself. Each text is dealt by
+    as next document they count once, by their smallest text. A single document follows itself; an empty table gives
+    no rows. doc_id must be a whole number or text that is one (else Spark's cast fails), and -2^63 counts as null. Texts of
+    any length are cut into shingles whole. A sketch holds an eighth of the shingles, so that estimates of short texts (six
+    hashes for 50 words) are coarse. Each text is dealt by
     its id once, and of its start as much as the document before it needs.
     """
     least = F.lit(-(1 << 63)).cast("bigint")

@@ -276,7 +276,9 @@ def link_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     counts the other rows that a row is linked with; class_id is the least doc_id of the rows that links connect it
     with, itself included. Words are runs of digits, letters (A-Z lower-cased) and characters outside ASCII; a text of
     fewer words than a shingle is one shingle. Texts without words, null ones too, have equal (empty) sets. A null
-    doc_id comes before all others, and its class has class_id null. Repeated rows are copies of each other.
+    doc_id comes before all others, and its class has class_id null; so does -2^63, which counts as null. doc_id must be a whole
+    number or text that is one. Repeated rows are copies of each other; an empty table gives no rows; very long texts are cut
+    into shingles whole.
     """
     texts = docs.select(_doc(), text_or_empty().alias("text"))
     signed = settle(_sign(texts, words))

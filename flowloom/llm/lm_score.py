@@ -437,7 +437,7 @@ def score_texts(docs: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, h
 
     Learned from are the rows with crc32(doc_id) mod 7 other than 2 (a null doc_id counts as the empty string); repeated
     rows count as often as they are there. Null texts count as empty: they have one token, the end. Without training rows
-    all tokens are unknown. Very long texts are whole: their tokens are dealt like all others.
+    all tokens are unknown; an empty table gives no rows. Very long texts are whole: their tokens are dealt like all others.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", text_or_empty().alias("text"), (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))

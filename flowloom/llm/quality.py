@@ -165,7 +165,7 @@ def _score(batches: Iterator[pa.RecordBatch], column: int, shared, buckets: int)
 def classify(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, repeated rows included; no shuffle.
 
-    Only the text is scored. Null and empty texts have no features, so that their score is that of the bias. A null
+    Only the text is scored, whole, however long; an empty table gives no rows. Null and empty texts have no features, so that their score is that of the bias. A null
     doc_id counts as the empty string for held_out.
     """
     shared, buckets = docs.sparkSession.sparkContext.broadcast(model), len(model[0])
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least `least`."""
+    """The rows of docs, with all their columns, whose score is at least `least`. Null and empty texts have the score of the bias."""
     shared, buckets, column = docs.sparkSession.sparkContext.broadcast(model), len(model[0]), docs.columns.index("text")
 
     def run(batches):

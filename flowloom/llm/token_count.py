@@ -47,7 +47,8 @@ def count_texts(texts: list[str], path: str, cache: TwoAgeCache | None = None) -
 def count_tokens(df: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens, over_limit) for each row of df, repeated rows included.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Ids may be null; other columns are not read. No shuffle.
+    A null text counts as empty: 0 bytes, 0 tokens; an empty table gives no rows; very long texts are counted whole. Ids may be
+    null; other columns are not read. No shuffle.
     """
     path = path or default_vocabulary()
 
