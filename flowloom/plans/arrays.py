@@ -50,7 +50,7 @@ _PIXELS = "SELECT vec_id, floor(abs(embedding[i]) * 1000) % 256 AS v, floor(abs(
 
 
 def _images(spark, sf_dir):
-    pixel = lambda a, k, n: F.transform(a, lambda x: F.floor(F.abs(x) * k) % n)
+    pixel = lambda a, k, n: F.transform(a, lambda x: F.floor((F.abs(x) * k).cast("float")) % n)  # noqa: E731  # the SQL multiplies in single precision
     mask = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i % 3 != 0)
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", pixel(F.col("embedding"), 1000, 256).alias("image"), pixel(F.reverse("embedding"), 100, 16).alias("bg"), mask.alias("mask"))
