@@ -67,7 +67,8 @@ def masked_brightness(spark, sf_dir):
 @query(f"SELECT vec_id, round(quantile_cont(v - bg, 0.1) - 1.5, 4) AS bright_perc_10, round(quantile_cont(v - bg, 0.9) - 1.5, 4) AS bright_perc_90 FROM ({_PIXELS}) WHERE m GROUP BY vec_id")
 def masked_percentiles(spark, sf_dir):
     b = G.brightness(F.col("image"), F.col("mask"), F.col("bg"), 1.5)
-    return _images(spark, sf_dir).select("vec_id", F.round(b["perc_10"], 4).alias("bright_perc_10"), F.round(b["perc_90"], 4).alias("bright_perc_90"))
+    short = lambda k: F.round(b[k], 4).cast("float").alias(f"bright_{k}")  # noqa: E731  # as the SQL's
+    return _images(spark, sf_dir).select("vec_id", short("perc_10"), short("perc_90"))
 
 
 @query("SELECT vec_id, k::INTEGER AS piece, round(list_sum(list_transform(embedding[k * 10 + 1 : k * 10 + 10], lambda x: x::DOUBLE)), 5) AS total, len(embedding[k * 10 + 1 : k * 10 + 10])::INTEGER AS samples FROM embeddings, (SELECT unnest(range(6)) AS k) t")
