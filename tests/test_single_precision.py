@@ -16,7 +16,7 @@ def thousandths(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["masked_brightness", "masked_percentiles"])
+@pytest.mark.parametrize("name", ["brightness_by_name", "masked_brightness", "masked_percentiles"])
 def test_equals_sql(spark, thousandths, name):
     df = QUERIES[name](spark, thousandths)
     r = duckdb.sql(ORACLES[name].replace("FROM embeddings", f"FROM read_parquet('{thousandths}/embeddings.parquet/*.parquet')"))
