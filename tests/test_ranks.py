@@ -1,5 +1,7 @@
 """Multi-rank selection and exact kernel densities against numpy over all rows."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -121,3 +123,20 @@ def test_error_bound_of_one_kernel(n, tol):
                 got = kernel_sums._powers(np.array([a]), o.p)[0] @ t[0, :, cell, :] @ kernel_sums._powers(np.array([b]), o.p)[0]
                 worst = max(worst, abs(got - np.exp(-((d + a - b) ** 2) / 2)))
     assert worst <= tol / n + 1e-15
+
+
+def test_density_of_sparse_events_sends_little(spark):
+    """Where cells hold few events, events travel, not the moments of cells, to few tiles around."""
+
+    def written():
+        time.sleep(0.5)  # the store of figures lags behind
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    rng = np.random.default_rng(2)
+    p = np.column_stack([rng.uniform(0, 50, 3000), rng.uniform(0, 2000, 3000)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "event_idx long, x double, y double")
+    before = written()
+    got = dict(map(tuple, kernel_sums.density_exact(df, "x", "y", "multivariate", bandwidth=(2.0, 2.0)).collect()))
+    assert written() - before < 3000 * 500
+    want = full_sums(p, p, np.eye(2) / 2) / (3000 * 8 * np.pi)
+    assert np.abs(np.array([got[i] for i in range(3000)]) / want - 1).max() < 1e-6
