@@ -5,15 +5,17 @@ joins the template that agrees with it in the largest share of tokens, at least
 template gets `<*>`. Lines of fewer than SHORT tokens must agree in all. Templates that recur in several documents are dropped
 from all but the first.
 
-Leading tokens are 3. A leaf of more than LEAF distinct lines is split by as many more of them, again and again, so that no
-task holds more lines of a leaf, and their comparisons stay few: lines of such a leaf need more tokens in common at the
-front. Within a leaf, lines are taken in the order of their hashes, so that the result depends on the lines alone.
+Leading tokens are 3, however many lines a leaf has. Within a leaf, lines are taken in the order of their hashes, so that the
+result depends on the lines alone. A leaf is one task's stream, of which its templates are held; with more than FEW of them
+only those are compared that share a token with the line at one of its rarest places, enough of these that no template that
+the line could join is passed over.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from flowloom.llm.common import join_spread, read, settle, text_or_empty, unused
 
 #: Leaves are sent to all tasks if they are no more than this (8 bytes each); else lines are joined with them.
 MAX_SENT = 4_000_000
-SHORT, LEAF = 5, 2048
+SHORT, FEW = 5, 128
 _DIGITS = re.compile(r"\S*\d\S*")
 _HAS_DIGIT = re.compile(r"\d").search
 WILD = "<*>"
@@ -59,23 +61,53 @@ class Leaf:
     def __init__(self, similarity: float):
         self.similarity, self.number, self.ids = similarity, {WILD: 0}, []
         self.rows = np.zeros((4, 0), np.int32)
+        #: Templates by (place, token) of the lines that began them, once there are more than FEW.
+        self.having: defaultdict[tuple[int, int], list[int]] | None = None
+
+    def _note(self, k: int, row: np.ndarray) -> None:
+        for at in enumerate(row.tolist()):
+            if at[1]:
+                self.having[at].append(k)
+
+    def _candidates(self, row: np.ndarray, need: int) -> np.ndarray | slice:
+        """The templates, in order, of which one may agree with row in `need` tokens: then it has one of row's tokens at any
+        places but need - 1 of those without a field, as templates only lose tokens."""
+        n = len(self.ids)
+        if n <= FEW:
+            return slice(0, n)
+        if self.having is None:
+            self.having = defaultdict(list)
+            for k in range(n):
+                self._note(k, self.begun[k])
+            self.begun = None
+        lists = sorted((self.having.get(at, ()) for at in enumerate(row.tolist()) if at[1]), key=len)
+        lists = [x for x in lists[: max(0, len(lists) - need + 1)] if x]
+        return np.unique(np.concatenate([np.array(x, np.int64) for x in lists])) if lists else np.zeros(0, np.int64)
 
     def add(self, own: int, masked: str) -> int:
         """The id of the template that the line joins: the hash of the line that began it."""
         row = np.array([self.number.setdefault(t, len(self.number)) for t in masked.split(" ")], np.int32)
         n = len(self.ids)
         if n:
-            same = ((self.rows[:n] == row) & (row != 0)).sum(1)
-            best = int(same.argmax())
-            if same[best] >= (self.similarity if len(row) >= SHORT else 1) * len(row):
+            need = math.ceil((self.similarity if len(row) >= SHORT else 1) * len(row))
+            which = self._candidates(row, need)
+            same = ((self.rows[which] == row) & (row != 0)).sum(1)
+            best = int(same.argmax()) if len(same) else 0
+            if len(same) and same[best] >= need:
+                best = best if isinstance(which, slice) else int(which[best])
                 self.rows[best][self.rows[best] != row] = 0
                 return self.ids[best]
         elif not self.rows.shape[1]:
             self.rows = np.zeros((4, len(row)), np.int32)
+            self.begun: list | None = []
         if n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n] = row
         self.ids.append(own)
+        if self.having is None:
+            self.begun.append(row)
+        else:
+            self._note(n, row)
         return own
 
 
@@ -148,9 +180,10 @@ def _lines(texts: DataFrame, depth: int, leaves: np.ndarray | None) -> DataFrame
     return texts.mapInArrow(run, "doc long, leaf long, line long, masked string")
 
 
-def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, max_sent: int = MAX_SENT, leaf: int = LEAF) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, max_sent: int = MAX_SENT, leaf: int | None = None) -> DataFrame:
     """Rows (doc, line): the hashes of the lines that are to go from each document, since their template is in at least
-    min_docs documents and this one, by doc_id, isn't the first."""
+    min_docs documents and this one, by doc_id, isn't the first. Leaves are split by more leading tokens only if the caller bounds
+    their distinct lines by `leaf`, at the price of templates that are told apart."""
     texts = docs.select(_key(), text_or_empty().alias("text"))
     shared = settle(_leaves(texts, depth).where(F.col("n") >= min_docs).select("leaf"))
     if shared.count() <= max_sent:
@@ -159,7 +192,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, mi
         lines = _lines(texts, depth, None).join(shared, "leaf", "left_semi")
     lines = settle(lines.select("doc", "leaf", "line", "masked"))
     distinct = settle(lines.groupBy("leaf", "line").agg(F.max("masked").alias("masked"), F.count("*").alias("n")))
-    of_line = settle(_grow(_deepen(distinct, depth, leaf), similarity))
+    of_line = settle(_grow(distinct if leaf is None else _deepen(distinct, depth, leaf), similarity))
     total = of_line.agg(F.sum("n")).first()[0] or 0  # a line with a thousandth of all is hot: there are no more than 1000 such
     placed = settle(join_spread(lines.select("doc", "line"), of_line, "line", 1000 * F.col("n") >= total).select("doc", "line", "template"))
     often = placed.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("one").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs)

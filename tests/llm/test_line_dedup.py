@@ -1,8 +1,10 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import xxhash
 
+from flowloom.llm import line_dedup
 from flowloom.llm.line_dedup import drop_recurring_lines, op9_line_dedup
 
 LONG = "All rights reserved by the maker number {} of this fine page"
@@ -99,3 +101,27 @@ def test_query(spark):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in _brute(rows)}
     got = op9_line_dedup(spark, d).collect()
     assert {r.doc_id: r.kept_sha256 for r in got} == want and len(got) == len(rows)
+
+
+def test_other_lines_of_a_leaf_change_nothing(spark):
+    """Two lines of one template stay that, however many other lines have their leading tokens."""
+    pair = [(1, "error reading file alpha from the main disk of this host"), (2, "error reading file beta from the main disk of this host")]
+    others = [f"error reading file {' '.join(hashlib.sha256(f'{k} {j}'.encode()).hexdigest()[:6].translate(str.maketrans('0123456789', 'ghijklmnop')) for j in range(8))}" for k in range(2100)]
+    rows = [*pair, (3, "\n".join(others[:1050])), (4, "\n".join(others[1050:]))]
+    for some in (pair, rows):
+        got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got[1] == pair[0][1] and got[2] == ""
+    assert sorted(got.items()) == _brute(rows, leaf=10**9)
+
+
+def test_indexed_templates_equal_all_compared(monkeypatch):
+    """In leaves of many templates, of few different tokens and with fields, each line joins the same one."""
+    rng = random.Random(4)
+    for n, words in ((4, 8), (6, 6), (9, 3), (14, 2)):
+        lines = list(dict.fromkeys(" ".join(rng.choice(["<*>", *"abcdefghij"[:words]]) for _ in range(n)) for _ in range(900)))
+        made = []
+        for few in (10**9, 5):
+            monkeypatch.setattr(line_dedup, "FEW", few)
+            leaf = line_dedup.Leaf(0.7)
+            made.append([leaf.add(k, x) for k, x in enumerate(lines)])
+        assert made[0] == made[1] and 5 < len(set(made[0]))
