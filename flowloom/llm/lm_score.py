@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +46,10 @@ DISCOUNTS = (0.75, 0.75)
 #: Tokens that a task deals at once, and that each of the parts they are dealt to holds on average.
 DEALT, PART = 1 << 19, 1 << 20
 _CHUNK, _BLOCK = 16_384, 1024
-#: Texts that a task deals at once, at most: their numbers have 14 bits. Up to 256 more may be under way.
-_TEXTS = (1 << 14) - 1024
+#: Texts, and bytes of them, whose tokens are numbered together.
+_ROWS, _BYTES = 1 << 9, 1 << 19
+#: Texts that a task deals at once, at most: their numbers have 14 bits. Up to _ROWS more may be under way.
+_TEXTS = (1 << 14) - 2 * _ROWS
 END = b" "
 
 
@@ -66,13 +68,6 @@ def _ending_column(word: str = "word"):
     return (F.crc32(F.right(F.col(word), F.lit(2))) % TAIL_CLASSES).cast("int")
 
 
-class _Codes(dict):
-    """Numbers of tokens; those outside the head get hashed ones after it."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + zlib.crc32(word)
-
-
 class Lexicon:
     """Head tokens by falling count, and the sums that smoothing needs: of count + 1 over the tokens of each tail class,
     and over those of them outside the head, with their number."""
@@ -81,11 +76,11 @@ class Lexicon:
         self.words, self.counts = words, np.array(counts, np.int64)
         self.total, self.distinct = total, distinct
         self.tail, self.rare, self.rare_n = (np.array(x, np.float64) for x in (tail, rare, rare_n))
-        self.codes: _Codes | None = None
+        self.known: pa.Array | None = None
 
     def ready(self) -> Lexicon:
-        if self.codes is None:
-            self.codes = _Codes((w, i) for i, w in enumerate(self.words))
+        if self.known is None:
+            self.known = _array(self.words)
             n = len(self.words)
             self.explicit = min(EXPLICIT, n)
             self.hot = min(HOT, self.explicit)
@@ -107,8 +102,13 @@ class Lexicon:
         self.word_log = np.log(own) - np.log(every)[self.class_of]
         self.rare_log = np.log((self.rare + 1) / (self.rare_n + 1)) - np.log(self.tail + 1)
 
+    @property
+    def codes(self) -> dict[bytes, int]:
+        """Numbers of the head's tokens."""
+        return {w: i for i, w in enumerate(self.words)}
+
     def __getstate__(self):
-        return {**self.__dict__, "codes": None}
+        return {**self.__dict__, "known": None}
 
 
 class Model:
@@ -153,30 +153,72 @@ def _mix(seed: int, *parts: np.ndarray) -> np.ndarray:
     return h
 
 
+def _array(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).view(pa.string())
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].tolist(), words.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    return [data[a:z] for a, z in zip(ends, ends[1:])]
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of up to _ROWS texts, and of up to _BYTES if they have several."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    lo = 0
+    while lo < len(ends):
+        hi = int(np.searchsorted(ends, _BYTES + (ends[lo - 1] if lo else 0), side="right"))
+        hi = min(max(hi, lo + 1), lo + _ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As `tokens_of`, of many texts: numbers of tokens, each token's place among the distinct ones, and these."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = lists.flatten().dictionary_encode()
+    sizes, which = pc.list_value_length(lists).to_numpy().astype(np.int64), found.indices.to_numpy()
+    blank = pc.index(found.dictionary, pa.scalar("", found.dictionary.type)).as_py()
+    if blank >= 0:  # beside white space at a text's ends
+        good = which != blank
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~good], minlength=len(sizes))
+        which = which[good]
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full(len(which) + len(sizes), len(found.dictionary), np.int64)
+    out[np.delete(np.arange(len(out)), ends)] = which
+    return sizes + 1, out, pa.concat_arrays([found.dictionary, pa.array([END.decode()], found.dictionary.type)])
+
+
 class Batch:
     """Codes, contexts and classes of the tokens of many texts."""
 
-    def __init__(self, lex: Lexicon, texts: list[str]):
-        code, head = lex.codes.__getitem__, len(lex.words)
-        cut = [tokens_of(t) for t in texts]
-        self.sizes = np.array(list(map(len, cut)), np.int64)
-        self.codes = np.concatenate([np.fromiter(map(code, c), np.int64, len(c)) for c in cut]) if cut else np.zeros(0, np.int64)
+    def __init__(self, lex: Lexicon, texts: pa.Array | list[str]):
+        if isinstance(texts, list):
+            texts = _array([t.encode("utf-8", "surrogatepass") for t in texts])
+        self.sizes, self._which, self._words = _cut(texts)
+        head = len(lex.words)
+        codes = pc.index_in(self._words, value_set=lex.known).fill_null(-1).to_numpy().astype(np.int64)
+        other = np.flatnonzero(codes < 0)  # tokens outside the head have hashed numbers after it
+        classes = lex.class_of[codes] if head else np.zeros(len(codes), np.int64)
+        words = _bytes(self._words.take(pa.array(other)))
+        codes[other] = [head + zlib.crc32(w) for w in words]
+        classes[other] = [lex.classes + _ending(w) for w in words]
+        begin = codes[-1]
+        self.head, self.codes, self.classes = head, codes[self._which], classes[self._which]
         start = np.cumsum(self.sizes) - self.sizes
         first = np.zeros(len(self.codes), bool)
         first[start] = True
-        begin = code(END)
         self.one = np.append(begin, self.codes[:-1])[: len(self.codes)]
         self.one[first] = begin
         self.two = np.append(begin, self.one[:-1])[: len(self.codes)]
         self.two[first] = begin
-        rare = np.flatnonzero(self.codes >= head)
-        self.classes = lex.class_of[np.minimum(self.codes, head - 1)] if head else np.zeros(len(self.codes), np.int64)
-        own = np.searchsorted(start, rare, side="right") - 1
-        self.rare: list[list[bytes]] = [[] for _ in texts]
-        for i, d in zip(rare.tolist(), own.tolist()):
-            w = cut[d][i - start[d]]
-            self.rare[d].append(w)
-            self.classes[i] = lex.classes + _ending(w)
+
+    def rare(self) -> pa.Array:
+        """Each text's tokens outside the head."""
+        at = np.flatnonzero(self.codes >= self.head)
+        bounds = np.searchsorted(at, np.append(0, np.cumsum(self.sizes)))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self._words.take(pa.array(self._which[at])))
 
 
 def _class_rows(lex: Lexicon, model: Model, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -224,7 +266,7 @@ def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
         table[at[start]] += total
 
 
-def _gather(lex: Lexicon, model: Model, texts: list[str], sums: list[np.ndarray]) -> None:
+def _gather(lex: Lexicon, model: Model, texts: pa.Array, sums: list[np.ndarray]) -> None:
     """Add to sums: of two, how often each feature was seen with each class, and hot pairs; of one, how often the model
     expects the former."""
     b = Batch(lex, texts)
@@ -246,10 +288,10 @@ def _count(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter = Counter()
-            for t in b.column("text").to_pylist():
-                n.update(tokens_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
+            _, which, words = _cut(b.column("text"))
+            n = np.bincount(which, minlength=len(words))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(n[some], pa.int64())], ["word", "c"])
 
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -290,8 +332,8 @@ def train_model(train: DataFrame, lex: Lexicon, lex_sent, rounds: int = ROUNDS,
             own, now = lex_sent.value.ready(), sent.value
             sums = [np.zeros(s, np.float32) for s in shapes]
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    _gather(own, now, b.column("text").slice(lo, 256).to_pylist(), sums)
+                for piece in _pieces(b):
+                    _gather(own, now, piece.column("text"), sums)
             for i, s in enumerate(sums):
                 for lo in range(0, len(s), _BLOCK):
                     part = s[lo : lo + _BLOCK]
@@ -468,10 +510,9 @@ def score_texts(docs: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, h
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows] + [group % parts], pa.int64()), pa.array([group] * (len(rows) + 1), pa.int64()), pa.array([d for _, d in rows] + [None], pa.binary()), lists], ["part", "group", "data", "docs"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
+            for piece in _pieces(b):
                 held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                facts = Batch(own, piece.column("text").to_pylist())
+                facts = Batch(own, piece.column("text"))
                 known, rest, context, word, skipped, after = class_part(own, now, facts)
                 counted = facts.codes < len(own.words)
                 plus = np.zeros(len(known))
@@ -481,8 +522,7 @@ def score_texts(docs: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, h
                 first = sum(map(len, texts))
                 tokens.append((context, word, skipped, (4 * (first + which[rest]) + 2 * ~held[which[rest]] + after).astype(np.uint16)))
                 columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(facts.sizes, pa.int64())] + [pa.array(np.add.reduceat(x, start), t) for x, t in ((counted.astype(np.int64), pa.int64()), (plus, pa.float64()), (known, pa.float64()))]
-                rare = pa.array(facts.rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-                texts.append(pa.table([*columns, rare], ["doc_id", "held_out", "n", "known", "base", "log", "rare"]))
+                texts.append(pa.table([*columns, facts.rare()], ["doc_id", "held_out", "n", "known", "base", "log", "rare"]))
                 if sum(len(t[0]) for t in tokens) >= dealt or first > _TEXTS:
                     yield from deal()
         if texts:

@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from flowloom.llm import lm_score
 from flowloom.llm.lm_score import END, EXPLICIT, TAIL_CLASSES, Batch, Lexicon, Model, _add_rows, _bases, _ending, class_part, op8_lm_scores, score_texts, weigh
 
 
@@ -129,3 +131,16 @@ def test_dealing_does_not_change_scores(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     a, b = ({r.doc_id: r.score for r in score_texts(df, dealt=n, part_tokens=p).collect()} for n, p in ((1 << 19, 1 << 20), (100, 50)))
     assert a == pytest.approx(b, rel=1e-5) and len(a) == 121
+
+
+def test_tokens_of_many_texts_are_cut_together():
+    """The tokens of each text, as cut alone, and pieces that have every text once."""
+    texts = ["", " \t", "A b c \x0b d\n", "Äb äB A", " a a  A\x1cb\x85", "x" * 50, "\x00 \x7f"] * 3
+    sizes, which, words = lm_score._cut(pa.array(texts))
+    flat = [words[i].as_py().encode() for i in which.tolist()]
+    want = [lm_score.tokens_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and flat == [t for w in want for t in w]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, "y" * (1 << 22), "z", *["q" * 1000] * 5000, *["q"] * 600])], ["text"])
+    pieces = [p.column("text").to_pylist() for p in lm_score._pieces(batch)]
+    assert [t for p in pieces for t in p] == batch.column("text").to_pylist()
+    assert all(len(p) == 1 or len(p) <= lm_score._ROWS and sum(map(len, p)) <= lm_score._BYTES for p in pieces) and max(map(len, pieces)) == lm_score._ROWS
