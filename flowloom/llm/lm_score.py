@@ -45,6 +45,8 @@ ROUNDS, STEP, DAMPING = 2, 0.6, 30.0
 DISCOUNTS = (0.75, 0.75)
 #: Tokens that a task deals at once, and that each of the parts they are dealt to holds on average.
 DEALT, PART = 1 << 19, 1 << 20
+#: Tokens of a part that are weighed at once, on average: a strip of its contexts. Weighing takes some 150 bytes a token.
+STRIP = 1 << 17
 _CHUNK, _BLOCK = 16_384, 1024
 #: Texts, and bytes of them, whose tokens are numbered together.
 _ROWS, _BYTES = 1 << 9, 1 << 19
@@ -440,6 +442,24 @@ def weigh(context: np.ndarray, word: np.ndarray, skipped: np.ndarray, base: np.n
     return np.log(p)
 
 
+def weigh_strips(lex: Lexicon, model: Model, pieces: list[list[np.ndarray]], strip: int = STRIP) -> list[np.ndarray]:
+    """As `weigh`, of a part's pieces (columns as `_dealt` sends them), each sorted by context: strips of contexts one after
+    the other, as a context's tokens need no others."""
+    logs = [np.empty(len(p[0])) for p in pieces]
+    strips = max(1, -(-sum(map(len, logs)) // strip))
+    bounds = np.array([(k << 32) // strips for k in range(1, strips)], np.uint32)
+    ends = [[0, *np.searchsorted(p[0], bounds).tolist(), len(p[0])] for p in pieces]
+    for k in range(strips):
+        at = [(e[k], e[k + 1]) for e in ends]
+        context, word, skipped, own = (np.concatenate([p[c][a:z] for p, (a, z) in zip(pieces, at)]) for c in range(4))
+        log = weigh(context, word, skipped, _bases(lex, model, word, skipped, own & 1), own >> 1 & 1)
+        lo = 0
+        for out, (a, z) in zip(logs, at):
+            out[a:z] = log[lo : lo + z - a]
+            lo += z - a
+    return logs
+
+
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Columns of 16-bit and 32-bit numbers by planes of equal bytes, compressed; the first is sorted and sent as steps."""
     columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
@@ -534,19 +554,16 @@ def score_texts(docs: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, h
 
         def done():
             pieces = [_opened(d, _TOKENS) for d in data]
-            context, word, skipped, own = (np.concatenate(x) for x in zip(*pieces))
-            log = weigh(context, word, skipped, _bases(lex, model, word, skipped, own & 1), own >> 1 & 1)
-            at, sums = 0, []
-            for *_, mine in pieces:
-                total = np.bincount(mine >> 2, log[at : at + len(mine)])
+            sums = []
+            for (*_, mine), log in zip(pieces, weigh_strips(lex, model, pieces)):
+                total = np.bincount(mine >> 2, log)
                 some = np.flatnonzero(total)
-                at += len(mine)
                 sums.append(_packed([some.astype(np.uint16), total[some].astype(np.float32)]))
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([now] * len(groups), pa.int64()), pa.array(sums, pa.binary()), pa.array([None] * len(groups), pa.list_(batch_kind))], ["group", "part", "data", "docs"])
 
         for b in batches:
-            for p, g, d, i in zip(b.column("part").to_pylist(), b.column("group").to_pylist(), b.column("data").to_pylist(), range(b.num_rows)):
-                if d is None:
+            for p, g, d, i in zip(b.column("part").to_pylist(), b.column("group").to_pylist(), b.column("data"), range(b.num_rows)):
+                if not d.is_valid:
                     yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), b.column("docs").slice(i, 1)], ["group", "part", "data", "docs"])
                     continue
                 if p != now and data:
@@ -554,7 +571,7 @@ def score_texts(docs: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, h
                     groups, data = [], []
                 now = p
                 groups.append(g)
-                data.append(d)
+                data.append(d.as_buffer())
         if data:
             yield from done()
 
