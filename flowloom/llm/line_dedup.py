@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from flowloom.llm.common import join_spread, read, settle, text_or_empty, unused
 #: Leaves are sent to all tasks if they are no more than this (8 bytes each); else lines are joined with them.
 MAX_SENT = 4_000_000
 SHORT, FEW = 5, 128
+#: Texts that a task cuts into lines at once.
+ROWS = 512
 _DIGITS = re.compile(r"\S*\d\S*")
 _HAS_DIGIT = re.compile(r"\d").search
 WILD = "<*>"
@@ -42,6 +45,10 @@ def _hash(text: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (b.slice(lo, ROWS) for lo in range(0, b.num_rows, ROWS))
+
+
 def parse(line: str, depth: int) -> tuple[int, int, str] | None:
     """(leaf, line hash, masked line), or None for lines without a token that is free of digits: they are no template."""
     tokens = line.split()
@@ -150,8 +157,9 @@ def _leaves(texts: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                seen.update({p[0] for p in (parse(x, depth) for x in text.split("\n")) if p})
+            for part in _slices(b):
+                for text in part.column("text").to_pylist():
+                    seen.update({p[0] for p in (parse(x, depth) for x in text.split("\n")) if p})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["leaf", "n"])
 
     return texts.select("text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
@@ -164,18 +172,19 @@ def _lines(texts: DataFrame, depth: int, leaves: np.ndarray | None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if sent is None else sent.value
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                rows += [(doc, *p) for p in {p for p in (parse(x, depth) for x in text.split("\n")) if p}]
-            if wanted is not None and rows:
-                leaf = np.array([r[1] for r in rows], np.int64)
-                at = np.searchsorted(wanted, leaf)
-                at[at == len(wanted)] = 0
-                keep = wanted[at] == leaf if len(wanted) else np.zeros(len(leaf), bool)
-                rows = [r for r, k in zip(rows, keep.tolist()) if k]
             seen: set = set()
-            text = [None if r[2] in seen or seen.add(r[2]) else r[3] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(text, pa.string())], ["doc", "leaf", "line", "masked"])
+            for part in _slices(b):
+                rows = []
+                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                    rows += [(doc, *p) for p in {p for p in (parse(x, depth) for x in text.split("\n")) if p}]
+                if wanted is not None and rows:
+                    leaf = np.array([r[1] for r in rows], np.int64)
+                    at = np.searchsorted(wanted, leaf)
+                    at[at == len(wanted)] = 0
+                    keep = wanted[at] == leaf if len(wanted) else np.zeros(len(leaf), bool)
+                    rows = [r for r, k in zip(rows, keep.tolist()) if k]
+                text = [None if r[2] in seen or seen.add(r[2]) else r[3] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(text, pa.string())], ["doc", "leaf", "line", "masked"])
 
     return texts.mapInArrow(run, "doc long, leaf long, line long, masked string")
 
@@ -220,7 +229,7 @@ def drop_recurring_lines(docs: DataFrame, counts: bool = False, lost: bool = Fal
     text_at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(_slices, batches)):
             texts, lines, dropped, shares = [], [], [], []
             for text, gone in zip(b.column(text_at).to_pylist(), b.column(width).to_pylist()):
                 cut = (text or "").split("\n")
