@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 KINDS = ("internal", "file", "remote")
 FORMATS = ("parquet", "dict", "hdf5", "http", "s3", "rest")
 
+#: Numbers that a basin of known rows may hold to be sent whole to all tasks, and for how many of them a text or an array counts.
+SENT, LONG = 1 << 17, 1 << 10
+
 
 @dataclass(frozen=True)
 class Basin:
-    """Another dataset's features. mapping "same" joins row by row, else by the named map column of the referrer."""
+    """Another dataset's features. mapping "same" joins row by row, else by the named map column of the referrer. rows: how many
+    there are, if it is known; else Spark judges by the bytes of files, which may be few for many rows."""
 
     df: DataFrame
     key: str = "event_idx"
@@ -26,6 +30,7 @@ class Basin:
     identifier: str | None = None
     name: str = ""
     basins: tuple[Basin, ...] = ()
+    rows: int | None = None
 
     def offers(self) -> list[str]:
         own = [c for c in self.df.columns if c != self.key]
@@ -43,9 +48,18 @@ def verify(b: Basin, run_identifier: str | None) -> bool:
     return run_identifier == b.identifier if b.mapping == "same" else run_identifier.startswith(b.identifier)
 
 
+def bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """df as a side of a join, that Spark may send to all tasks only if these are few rows. By itself it goes by the compressed bytes of
+    files, and millions of numbers that compress to a few MB would be gathered on the driver."""
+    if rows is None:
+        return df
+    width = sum(LONG if k in ("string", "binary") or k.startswith(("array", "map", "struct")) else 1 for _, k in df.dtypes)
+    return df if rows * width <= SENT else df.hint("merge")
+
+
 def join_basin(df: DataFrame, b: Basin, features: Sequence[str], key: str = "event_idx") -> DataFrame:
-    """df with some of the basin's features: a left join by place or by map. Spark broadcasts a basin by its measured size only."""
-    side = b.df.select(F.col(b.key).alias("_basin"), *features)
+    """df with some of the basin's features: a left join by place or by map. A basin of known rows is broadcast only if they are few."""
+    side = bounded(b.df.select(F.col(b.key).alias("_basin"), *features), b.rows)
     left = key if b.mapping == "same" else b.mapping
     return df.join(side, df[left] == F.col("_basin"), "left").drop("_basin")
 
@@ -80,7 +94,7 @@ def resolve_some(df: DataFrame, wanted: Sequence[str], basins: Sequence[Basin],
         inner = sorted(reachable(b.basins, b.identifier, seen | {id(b)}) & {f for f in missing if f not in b.offers()})
         if inner:
             deeper = resolve(b.df, inner, b.basins, b.key, b.identifier, seen | {id(b)})
-            source = Basin(deeper, b.key, b.mapping, b.kind, b.format, None, b.identifier, b.name)
+            source = Basin(deeper, b.key, b.mapping, b.kind, b.format, None, b.identifier, b.name, rows=b.rows)
         here = [f for f in missing if f in source.offers()]
         if here:
             df = join_basin(df, source, here, key)

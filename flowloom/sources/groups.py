@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from flowloom.catalog import Catalog, Metadata
 from flowloom.frame import EventFrame
 from flowloom.functions.numeric import finite_or_null
-from flowloom.operators.basins import Basin
+from flowloom.operators.basins import Basin, bounded
 from flowloom.operators.sample import with_rank
 
 #: Basin maps that a measurement may have.
@@ -175,7 +175,7 @@ class GroupStore:
             here = [n for n in names if n in g["features"]]
             if here:
                 part = self._group(g).select("event_idx", *here)
-                out = part if out is None else out.join(part, "event_idx")
+                out = part if out is None else out.join(bounded(part, self.count()), "event_idx")
         if out is None or set(names) - set(self.features):
             raise KeyError(f"the store lacks {', '.join(sorted(set(names) - set(self.features))) or 'features'}")
         return out.select("event_idx", *names)
@@ -188,12 +188,14 @@ class GroupStore:
         groups = sorted(self.manifest["groups"], key=lambda g: -len(g["features"]))
         if not groups:
             raise KeyError("the store is empty")
-        inner = [Basin(self._group(g), kind="internal", features=tuple(g["features"])) for g in groups[1:]]
+        inner = [Basin(self._group(g), kind="internal", features=tuple(g["features"]), rows=self.count()) for g in groups[1:]]
         for b in self.manifest["basins"].values():
             if b["kind"] != "remote" and b["paths"]:
                 at = b["paths"][0]
-                other = self.spark.read.parquet(at) if at.rstrip("/").endswith(".parquet") else GroupStore(self.spark, at).read()
-                inner.append(Basin(other, b["key"], b["mapping"], b["kind"], b["format"], tuple(b["features"]) if b["features"] else None, b["identifier"], b["name"]))
+                store = None if at.rstrip("/").endswith(".parquet") else GroupStore(self.spark, at)
+                other = self.spark.read.parquet(at) if store is None else store.read()
+                rows = other.count() if store is None else store.count()
+                inner.append(Basin(other, b["key"], b["mapping"], b["kind"], b["format"], tuple(b["features"]) if b["features"] else None, b["identifier"], b["name"], rows=rows))
         meta = Metadata(self.manifest["meta"]).copy().set("experiment", "event count", self.count())
         return EventFrame(self._group(groups[0]).select("event_idx", *groups[0]["features"]), meta, basins=tuple(inner), catalog=catalog or Catalog())
 

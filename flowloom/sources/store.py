@@ -135,7 +135,7 @@ def read_store(spark: SparkSession, path: str, catalog: Catalog | None = None, b
     found = []
     for d in json.loads(_one_text(spark, f"{path}/basins.json") or "[]") if basins else []:
         other = spark.read.parquet(d["name"] if d["name"].endswith(".parquet") else f"{d['name']}/events")
-        found.append(Basin(other, d["key"], d["mapping"], d["kind"], d["format"], tuple(d["features"]) if d["features"] else None, d["identifier"], d["name"]))
+        found.append(Basin(other, d["key"], d["mapping"], d["kind"], d["format"], tuple(d["features"]) if d["features"] else None, d["identifier"], d["name"], rows=other.count()))
     return EventFrame(df, meta, basins=tuple(found), logs=logs, tables=tables, catalog=catalog or Catalog())
 
 

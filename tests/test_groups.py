@@ -142,3 +142,17 @@ def test_digest_depends_on_order_only(spark, monkeypatch):
     assert column_digest(df.repartition(9), "v", bits=5) == want
     swapped = df.withColumn("v", F.when(F.col("event_idx") == 7, 8).when(F.col("event_idx") == 8, 7).otherwise(F.col("v")))
     assert column_digest(swapped, "v", bits=5) != want and column_digest(df.limit(0), "v") == column_digest(df.limit(0), "v")
+
+
+def test_large_maps_are_not_gathered_on_the_driver(spark, tmp_path):
+    n = 70_000  # compressed to a few bytes a row, far below Spark's threshold of 10 MB
+    other = GroupStore(spark, str(tmp_path / "o")).append(spark.range(7).select(F.col("id").alias("event_idx"), (F.col("id") * 10.0).alias("tilt")))
+    store = GroupStore(spark, str(tmp_path / "s")).append(events(spark, n).drop("image"))
+    store.store_basin("one", [other.path], features=["tilt"], mapping=spark.range(n).select(F.col("id").alias("event_idx"), (F.col("id") % 7).alias("basin_idx")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = store.frame().with_features("basinmap0").df
+    assert "SortMergeJoin" in plan(got) and "Broadcast" not in plan(got)
+    assert "SortMergeJoin" in plan(store.read("deform", "basinmap0")) and "Broadcast" not in plan(store.read("deform", "basinmap0"))
+    both = store.frame().with_features("basinmap0", "tilt").df
+    assert plan(both).count("SortMergeJoin") == 1 and plan(both).count("BroadcastExchange") == 1  # seven rows are sent
+    assert both.where("deform = event_idx * 0.5 and basinmap0 = event_idx % 7 and tilt = event_idx % 7 * 10").count() == both.count() == n
